@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, pii, url_filter
+from . import exact_dedup, pii, quality, url_filter
 
 QUERIES = {
     "op2_url_filter": url_filter.op2_url_filter,
+    "op3_quality": quality.op3_quality,
     "op4_pii": pii.op4_pii,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
 }
