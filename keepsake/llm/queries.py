@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, pii, quality, url_filter
+from . import exact_dedup, pii, quality, toxicity, url_filter
 
 QUERIES = {
     "op2_url_filter": url_filter.op2_url_filter,
     "op3_quality": quality.op3_quality,
     "op4_pii": pii.op4_pii,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+    "op8_toxicity": toxicity.op8_toxicity,
 }
 ORACLES = {
     "op2_url_filter": url_filter.SQL,
