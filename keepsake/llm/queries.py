@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, pii, quality, toxicity, url_filter
+from . import exact_dedup, packing, pii, quality, token_files, toxicity, url_filter
 
 QUERIES = {
     "op2_url_filter": url_filter.op2_url_filter,
     "op3_quality": quality.op3_quality,
     "op4_pii": pii.op4_pii,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+    "op7_token_files": token_files.op7_token_files,
     "op8_toxicity": toxicity.op8_toxicity,
+    "op9_best_fit_packing": packing.op9_best_fit_packing,
 }
 ORACLES = {
     "op2_url_filter": url_filter.SQL,
