@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, packing, pii, quality, token_files, toxicity, url_filter
+from . import exact_dedup, ngram_join, packing, pii, quality, token_files, toxicity, url_filter
 
 QUERIES = {
     "op2_url_filter": url_filter.op2_url_filter,
@@ -12,6 +12,7 @@ QUERIES = {
     "op7_token_files": token_files.op7_token_files,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
+    "op10_ngram_join": ngram_join.op10_ngram_join,
 }
 ORACLES = {
     "op2_url_filter": url_filter.SQL,
