@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, ngram_join, packing, pii, quality, token_files, toxicity, url_filter
+from . import decontaminate, exact_dedup, ngram_join, packing, pii, quality, token_files, toxicity, url_filter
 
 QUERIES = {
+    "op1_decontaminate": decontaminate.op1_decontaminate,
     "op2_url_filter": url_filter.op2_url_filter,
     "op3_quality": quality.op3_quality,
     "op4_pii": pii.op4_pii,
@@ -15,6 +16,7 @@ QUERIES = {
     "op10_ngram_join": ngram_join.op10_ngram_join,
 }
 ORACLES = {
+    "op1_decontaminate": decontaminate.SQL,
     "op2_url_filter": url_filter.SQL,
     "op6_exact_dedup": exact_dedup.SQL,
 }

@@ -57,11 +57,15 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), BLANK), lambda w: w != "")
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once, however often body uses it in lambdas."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def shingle_hashes(words: Column, size: int = SHINGLE) -> Column:
     """64-bit hashes of all runs of size words, with repeats; fewer words give an empty array."""
-    last = F.size(words) - size
 
-    def at(i: Column) -> Column:
-        return F.xxhash64(*[F.get(words, i + k) for k in range(size)])
+    def runs(w: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size(w) - size), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(size)]))
 
-    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), at)).otherwise(F.array().cast("array<bigint>"))
+    return let(words, lambda w: F.when(F.size(w) >= size, runs(w)).otherwise(F.array().cast("array<bigint>")))
