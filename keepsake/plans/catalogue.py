@@ -1,7 +1,14 @@
-"""The registry of driver queries."""
+"""The registry of driver queries; importing the modules fills it."""
 
-def queries():
-    return {}
+from __future__ import annotations
 
-def oracle_sql():
-    return {}
+from . import conversation_queries, evaluation_queries, event_queries, fact_queries, retrieval_queries, text_queries, vector_queries  # noqa: F401
+from .registry import ORACLES, QUERIES
+
+
+def queries() -> dict:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(ORACLES)
