@@ -87,8 +87,8 @@ def session_tokens(spark, sf_dir):
     return turns(spark, sf_dir).groupBy((F.col("session_id") % 10).alias("history")).agg(F.sum(X.count_tokens(F.col("text"))).cast("long").alias("tokens"), F.countDistinct("session_id").alias("sessions"))
 
 
-@query("""WITH w AS (SELECT conv_id AS session_id, turn, list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '') AS w FROM conversations), i AS (SELECT session_id, turn, w, unnest(range(0, len(w), 150)) AS at FROM w)
-SELECT session_id, turn, (at // 150)::INTEGER AS chunk, array_to_string(w[at + 1:at + 150], ' ') AS text FROM i""")
+@query("""WITH w AS (SELECT conv_id AS session_id, turn, list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '') AS w FROM conversations), i AS (SELECT session_id, turn, w, unnest(range(0, len(w), 150)) AS k FROM w)
+SELECT session_id, turn, (k // 150)::INTEGER AS chunk, array_to_string(w[k + 1:k + 150], ' ') AS text FROM i""")
 def chunk_turns(spark, sf_dir):
     return packing.chunks(turns(spark, sf_dir))
 

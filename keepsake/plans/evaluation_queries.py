@@ -38,7 +38,7 @@ _HEX = "list_reduce(list_prepend(0::BIGINT, list_transform(range(1, 9), lambda p
 
 @query(f"""WITH v AS (SELECT lang AS grp, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS i, quality::DOUBLE AS v FROM labels JOIN documents USING (doc_id)), n AS (SELECT grp, count(*) AS n, avg(v) AS mean FROM v GROUP BY grp),
 d AS (SELECT v.grp, rep, {_HEX} % n AS i FROM v JOIN n USING (grp), range(0, 200) t(rep)), m AS (SELECT d.grp, rep, round(avg(v), 9) AS m FROM d JOIN v ON v.grp = d.grp AND v.i = d.i GROUP BY 1, 2),
-o AS (SELECT grp, m, row_number() OVER (PARTITION BY grp ORDER BY m, rep) - 1 AS at FROM m) SELECT grp, any_value(n) AS n, round(any_value(mean), 6) AS mean, round(max(m) FILTER (at = 5), 6) AS lo, round(max(m) FILTER (at = 195), 6) AS hi FROM o JOIN n USING (grp) GROUP BY grp""")
+o AS (SELECT grp, m, row_number() OVER (PARTITION BY grp ORDER BY m, rep) - 1 AS k FROM m) SELECT grp, any_value(n) AS n, round(any_value(mean), 6) AS mean, round(max(m) FILTER (k = 5), 6) AS lo, round(max(m) FILTER (k = 195), 6) AS hi FROM o JOIN n USING (grp) GROUP BY grp""")
 def bootstrap_ci(spark, sf_dir):
     from pyspark.sql import Window as W
 
