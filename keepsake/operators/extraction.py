@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import clean_value, count_tokens, entities, make_id, sentences, strings, truncated
 from ..schemas import ATTRIBUTES, EXTRACTION
@@ -103,14 +104,15 @@ def salvage(text: str | None) -> str | None:
     return None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def salvaged(replies: pd.Series) -> pd.Series:
     return replies.map(salvage)
 
 
 def parse(replies: Column) -> Column:
     """A model's reply as an extraction; cut-off replies as far as they go."""
-    return F.coalesce(F.from_json(replies, EXTRACTION), F.from_json(salvaged(replies), EXTRACTION))
+    whole = F.get_json_object(replies, "$").isNotNull()
+    return F.from_json(F.when(whole, replies).otherwise(salvaged(replies)), EXTRACTION)
 
 
 def degenerate(replies: DataFrame, key: str = "session_id", raw: str = "raw") -> DataFrame:
