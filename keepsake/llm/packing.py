@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import table
-from .tokens import LowerWords, public_path
+from .tokens import LowerWords, encoder, public_path
 
 LENGTH, OPEN = 2048, 1024
 
@@ -69,7 +69,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, most: int = OPEN
     """One row per piece: id, piece, start, length, ids (little-endian, 32 bits), sequence_id, offset."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, packer = LowerWords(tokenizer), Packer(length, most)
+        encode, packer = encoder(LowerWords, tokenizer), Packer(length, most)
         base, end = TaskContext.get().partitionId() << 32, np.array([end_id], "<u4").tobytes()
         for b in it:
             rows, size = [], 0

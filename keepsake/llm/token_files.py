@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from . import mph
 from .shared import fresh_path, table
-from .tokens import ByteWords, public_path
+from .tokens import ByteWords, encoder, public_path
 
 #: Ids in memory at most, beside one document's, before they go to the file or come from it.
 BLOCK = 1 << 21
@@ -112,7 +112,7 @@ def write(docs: DataFrame, url: str, tokenizer: str, end_id: int = 0, key: str =
     """Writes the shards and the manifest (shard int, docs long, ids long, width int)."""
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = ByteWords(tokenizer)
+        encode = encoder(ByteWords, tokenizer)
         width = 2 if encode.tokenizer.get_vocab_size() <= 65536 and end_id < 65536 else 4
         task = TaskContext.get()
         files, folder = _open(url)

@@ -11,12 +11,14 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from functools import cache
 
 import numpy as np
 
-#: Entries of each of a worker's two tables; a full one is emptied.
-TABLE = 800_000
+#: Entries of a generation of each of a worker's two tables. A full one becomes the old generation, whose
+#: entries move to the new one as they are met again.
+TABLE = 400_000
 #: Characters that Python counts as blanks and the tokenizers don't.
 ODD = re.compile("[\x1c-\x1f]")
 #: What a byte-level text must not hold to be cut at single spaces and line ends.
@@ -55,7 +57,8 @@ class Encoder(dict):
 
     def __init__(self, path: str):
         super().__init__()
-        self.tokenizer, self.signs, self.parts = load(path), _byte_signs(), {}
+        self.tokenizer, self.signs = load(path), _byte_signs()
+        self.old, self.parts, self.old_parts = {}, {}, {}
         self.model = self.tokenizer.model
 
     def whole(self, text: str) -> bytes:
@@ -65,26 +68,38 @@ class Encoder(dict):
         """The ids of one piece, which the tokenizer's model merges."""
         found = self.parts.get(text)
         if found is None:
+            found = self.old_parts.get(text)
+            if found is None:
+                signs = self.signs
+                found = array("I", [t.id for t in self.model.tokenize("".join([signs[b] for b in text.encode()]))]).tobytes()
             if len(self.parts) >= TABLE:
-                self.parts.clear()
-            signs = self.signs
-            ids = [t.id for t in self.model.tokenize("".join([signs[b] for b in text.encode()]))]
-            found = self.parts[text] = np.array(ids, np.uint32).tobytes()
+                self.old_parts, self.parts = self.parts, {}
+            self.parts[text] = found
         return found
 
     def word(self, word: str) -> bytes:
         raise NotImplementedError
 
     def __missing__(self, word: str) -> bytes:
+        found = self.old.get(word)
+        if found is None:
+            found = self.word(word)
         if len(self) >= TABLE:
+            self.old = dict(self)
             self.clear()
-        self[word] = found = self.word(word)
+        self[word] = found
         return found
 
     def joined(self, words: list[str]) -> bytes:
         return b"".join(map(self.__getitem__, words))
 
 
+@cache
+def encoder(kind: type[Encoder], path: str) -> Encoder:
+    """The worker's own: its tables outlive a task."""
+    return kind(path)
+
+
 class LowerWords(Encoder):
     """For a tokenizer that lower-cases, drops blanks and ends words: each word stands alone."""
 
