@@ -5,16 +5,20 @@ point, and the sum of the smaller coordinates of two points bounds their texts'
 of a block stand in an R-tree (bulk-loaded, nodes keep the largest count of each group and the range of
 sizes), which is searched for the points whose bound allows a link; what survives is verified on the sets.
 
-Blocks come from an exact filter, so that no pair is lost and no task needs the corpus:
+Blocks come from exact filters, so that no pair is lost and no task needs the corpus:
 
 1. Texts with equal sets are one class; only a class's first row goes on.
 2. Two sets of similarity t share a token among the first n - ceil(t n) + 1 of either, in any common
    order of tokens. Ours puts tokens that stand in more than a thousandth of the texts last (their number
    is bounded by the mean set size times a thousand), others by hash. These prefixes, 16 bytes a token, are
-   dealt to buckets; in a bucket, classes of compatible size under one token form a chain, not all pairs.
-3. Connected components of the chains are blocks. A component of over CHUNK classes is cut by hash into
-   chunks, and each two of them are a block. Only these texts move, and only once unless cut.
-4. Blocks yield spanning forests of their links; those of cut components are joined by components().
+   dealt to buckets, where the classes under one token form a group; groups of equal members are one.
+3. A group's points stand in an R-tree: classes whose bound allows a link are joined, as a forest, not as
+   pairs. Connected components of these forests are the blocks, so texts that share no more than a common
+   passage don't meet. Only the texts of blocks move.
+4. In a block the R-tree is searched again and what survives is verified; blocks yield forests of links.
+
+A group or component of over CHUNK classes is cut by hash into chunks, and each two of its chunks make a
+part; components() joins the forests of parts.
 
 Defined results: texts without words, null ones too, have size 0 and link with nothing; fewer words than
 a shingle make one token; rows with equal sets link whatever their ids, repeated rows included; a null id
@@ -33,13 +37,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
+from .mph import mix
 from .shared import SHINGLE, partitions, stored, table
 from .shingles import shingle_sets
 
 #: Classes in a chunk of a cut component. Share of texts from which a token is common, least texts, most such tokens.
 CHUNK, COMMON, LEAST, MOST_COMMON = 2048, 1000, 8, 1 << 20
-#: Token groups (coordinates of a point), points in a leaf, children of a node.
-GROUPS, LEAF, FAN = 64, 32, 16
+#: Least and most token groups (coordinates of a point), points in a leaf, children of a node.
+GROUPS, MOST_GROUPS, LEAF, FAN = 64, 4096, 32, 16
+#: A count that a byte can't hold stands for any number.
+FULL = 1 << 20
 #: Tokens that a task holds before it sums or sends them.
 HELD = 1 << 21
 
@@ -63,6 +70,27 @@ def digest_of(tokens: np.ndarray) -> bytes:
     return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
 
 
+def width_of(n: int) -> int:
+    """Groups for sets of n tokens and more: a power of two, one for four to eight tokens between the bounds."""
+    return min(MOST_GROUPS, max(GROUPS, 1 << max(0, (n // 4).bit_length() - 1)))
+
+
+def point_of(tokens: np.ndarray, width: int) -> np.ndarray:
+    """Tokens by group, the low bits of their hashes."""
+    return np.bincount((tokens & np.uint64(width - 1)).astype(np.int64), minlength=width)
+
+
+def packed_point(tokens: np.ndarray) -> bytes:
+    return np.minimum(point_of(tokens, width_of(len(tokens))), 255).astype(np.uint8).tobytes()
+
+
+def unpacked_point(data: bytes, width: int) -> np.ndarray:
+    """A packed point with fewer groups: those of equal lower bits are summed."""
+    p = np.frombuffer(data, np.uint8).astype(np.int64)
+    p[p == 255] = FULL
+    return p.reshape(-1, width).sum(axis=0)
+
+
 def size_code(n: int) -> int:
     """Steps of a tenth."""
     return min(255, int(np.log(n) / np.log(1.1)))
@@ -85,22 +113,23 @@ def _sum_common(sets: list[np.ndarray], docs: int) -> bytes:
 
 
 def describe(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
-    """Rows (id, print, n, digest, key, node) of all rows of docs, and rows (n = -1, common) with sums of frequent tokens."""
+    """Rows (id, print, n, digest, key, node, point) of all rows of docs, and rows (n = -1, common) with sums of frequent tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, docs_held, total = [], 0, 0
 
         def summary() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([-1], pa.int32()), pa.array([None], pa.binary()), pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([_sum_common(held, docs_held)], pa.binary())], names=names)
+            return pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([-1], pa.int32()), pa.array([None], pa.binary()), pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([None], pa.binary()), pa.array([_sum_common(held, docs_held)], pa.binary())], names=names)
 
         for b in batches:
-            n, digests, keys, nodes = [], [], [], []
+            n, digests, keys, nodes, points = [], [], [], [], []
             for s in shingle_sets(b.column(2), size):
                 d = digest_of(s)
                 n.append(len(s))
                 digests.append(d)
                 keys.append(key_of(d, len(s)) if len(s) else None)
                 nodes.append(node_of(d))
+                points.append(packed_point(s))
                 if len(s):
                     held.append(s)
                     docs_held += 1
@@ -108,12 +137,12 @@ def describe(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
                 if total >= HELD:
                     yield summary()
                     held, docs_held, total = [], 0, 0
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int32()), pa.array(digests, pa.binary()), pa.array(keys, pa.int64()), pa.array(nodes, pa.int64()), pa.nulls(len(n), pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int32()), pa.array(digests, pa.binary()), pa.array(keys, pa.int64()), pa.array(nodes, pa.int64()), pa.array(points, pa.binary()), pa.nulls(len(n), pa.binary())], names=names)
         if held:
             yield summary()
 
-    names = ["id", "print", "n", "digest", "key", "node", "common"]
-    return _texts(docs, key, text).mapInArrow(run, "id long, print long, n int, digest binary, key long, node long, common binary")
+    names = ["id", "print", "n", "digest", "key", "node", "point", "common"]
+    return _texts(docs, key, text).mapInArrow(run, "id long, print long, n int, digest binary, key long, node long, point binary, common binary")
 
 
 def _texts(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -136,11 +165,10 @@ def common_tokens(described: DataFrame) -> np.ndarray:
     return np.sort(found["token"].to_numpy(np.int64).view(np.uint64))
 
 
-def chains(docs: DataFrame, common: np.ndarray, key: str, text: str, size: int, percent: int) -> DataFrame:
-    """Edges (u, v) between keys of classes that may be linked or stand in a chain of such; forests of each bucket."""
+def groups(docs: DataFrame, common: np.ndarray, key: str, text: str, size: int, percent: int) -> DataFrame:
+    """(grp, key), distinct: the classes that share a token of their prefixes."""
     spark = docs.sparkSession
     buckets, shared = partitions(spark), spark.sparkContext.broadcast(common)
-    step = int(np.log(100 / percent) / np.log(1.1)) + 1
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, keys, total = [], [], 0
@@ -171,15 +199,15 @@ def chains(docs: DataFrame, common: np.ndarray, key: str, text: str, size: int,
         for b in batches:
             tokens += [np.frombuffer(x, np.uint64) for x in b.column("tokens").to_pylist()]
             owners += [np.frombuffer(x, np.int64) for x in b.column("owners").to_pylist()]
-        u, v = chain(np.concatenate(tokens), np.concatenate(owners), step)
-        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+        grp, own = members(np.concatenate(tokens), np.concatenate(owners))
+        yield pa.RecordBatch.from_arrays([pa.array(grp), pa.array(own)], names=["grp", "key"])
 
     sent = _texts(docs, key, text).mapInArrow(send, "bucket int, tokens binary, owners binary")
-    return sent.groupBy("bucket").applyInArrow(link, "u long, v long")
+    return sent.groupBy("bucket").applyInArrow(link, "grp long, key long").distinct()
 
 
-def chain(tokens: np.ndarray, owners: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
-    """A forest (node, least node) of the chains of owners under each token."""
+def members(tokens: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(group, owner) of the tokens that several owners have; a group's number is a hash of its members."""
     order = np.argsort(tokens, kind="stable")
     tokens, owners = tokens[order], owners[order]
     same = tokens[1:] == tokens[:-1]
@@ -187,27 +215,59 @@ def chain(tokens: np.ndarray, owners: np.ndarray, step: int) -> tuple[np.ndarray
     shared[1:] |= same
     shared[:-1] |= same
     tokens, owners = tokens[shared], owners[shared]
-    code = owners & 255
-    order = np.lexsort((owners, code, tokens))
-    tokens, owners, code = tokens[order], owners[order], code[order]
-    near = (tokens[1:] == tokens[:-1]) & (owners[1:] != owners[:-1]) & (code[1:] - code[:-1] <= step)
-    nodes, index = np.unique(np.concatenate([owners[1:][near], owners[:-1][near]]), return_inverse=True)
-    half = len(index) // 2
-    a, b = index[:half], index[half:]
-    label = np.arange(len(nodes))
-    while True:  # labels fall to the least of the component: along edges, then through labels of labels
-        low = np.minimum(label[a], label[b])
-        new = label.copy()
-        np.minimum.at(new, a, low)
-        np.minimum.at(new, b, low)
-        np.minimum.at(new, label[a], low)
-        np.minimum.at(new, label[b], low)
-        new = new[new]
-        if (new == label).all():
-            break
-        label = new
-    moved = label != np.arange(len(nodes))
-    return nodes[moved], nodes[label[moved]]
+    order = np.lexsort((owners, tokens))
+    tokens, owners = tokens[order], owners[order]
+    new = np.ones(len(tokens), bool)
+    new[1:] = (tokens[1:] != tokens[:-1]) | (owners[1:] != owners[:-1])  # a class counts once however often it is copied
+    tokens, owners = tokens[new], owners[new]
+    if not len(tokens):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    starts = np.flatnonzero(np.append(True, tokens[1:] != tokens[:-1]))
+    sizes = np.diff(np.append(starts, len(tokens)))
+    number = mix(np.add.reduceat(mix(owners.view(np.uint64)), starts) + sizes.astype(np.uint64))
+    first = np.zeros(len(starts), bool)
+    first[np.unique(number, return_index=True)[1]] = True
+    keep = np.repeat(first & (sizes > 1), sizes)
+    return np.repeat(number, sizes)[keep].view(np.int64), owners[keep]
+
+
+def parts(rows: DataFrame, group: str, member: str, chunk: int) -> DataFrame:
+    """rows with lo, hi, whole: parts of each group in which every two of its members meet; one part up to chunk members."""
+    sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    cut = rows.join(sizes, group).withColumn("_chunks", F.ceil(F.col("_n") / chunk).cast("int"))
+    cut = cut.withColumn("_own", F.pmod(F.xxhash64(member), F.col("_chunks")).cast("int"))
+    other = cut.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)))
+    return other.withColumns({"lo": F.least("_own", "_other"), "hi": F.greatest("_own", "_other"), "whole": F.col("_chunks") == 1}).drop("_n", "_chunks", "_own", "_other")
+
+
+def dealt(rows: DataFrame, group: str) -> DataFrame:
+    return rows.repartition(group, "lo", "hi").sortWithinPartitions(group, "lo", "hi")
+
+
+def candidates(placed: DataFrame, percent: int) -> DataFrame:
+    """placed: grp, lo, hi, key, n, point, dealt and sorted. A forest (u, v) of keys whose bounds allow links."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, held = None, {}
+
+        def forest() -> pa.RecordBatch:
+            keys = np.array(list(held), np.int64)
+            packed = list(held.values())
+            root = forest_of(np.array([n for n, _ in packed]), lambda rows, width: np.stack([unpacked_point(packed[i][1], width) for i in rows]), percent)
+            moved = root != np.arange(len(root))
+            return pa.RecordBatch.from_arrays([pa.array(keys[moved]), pa.array(keys[root[moved]])], names=["u", "v"])
+
+        for b in batches:
+            for grp, lo, hi, key, n, point in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                if (grp, lo, hi) != own:
+                    if len(held) > 1:
+                        yield forest()
+                    own, held = (grp, lo, hi), {}
+                held[key] = (n, point)
+        if len(held) > 1:
+            yield forest()
+
+    return placed.select("grp", "lo", "hi", "key", "n", "point").mapInArrow(run, "u long, v long")
 
 
 class Tree:
@@ -262,25 +322,48 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def block_links(sets: list[np.ndarray], percent: int) -> np.ndarray:
-    """The label of each set: the first set of its component. Pairs in one component already aren't verified."""
-    label = np.arange(len(sets))
-    if len(sets) < 2:
-        return label
-    points = np.stack([np.bincount((s & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS) for s in sets])
-    tree = Tree(points, np.array([len(s) for s in sets]))
-    sets = [sets[i] for i in tree.order]
-    for i in range(len(sets)):
-        for j in tree.search(i, percent, label == label[i]):
-            if label[j] != label[i] and linked(sets[i], sets[j], percent):
-                label[label == max(label[i], label[j])] = min(label[i], label[j])
-    first: dict[int, int] = {}
-    out = np.zeros(len(sets), np.int64)
-    for k, i in enumerate(tree.order):
-        first[label[k]] = min(first.get(label[k], len(sets)), int(i))
-    for k, i in enumerate(tree.order):
-        out[i] = first[label[k]]
-    return out
+def bands(sizes: np.ndarray, percent: int) -> Iterator[np.ndarray]:
+    """Rows by size, so that any two of compatible sizes are in one band; the sizes of a band differ by twice the ratio at most."""
+    order = np.argsort(sizes, kind="stable")
+    ranked, low = sizes[order].astype(float), 0
+    while low < len(order):
+        ratio = 100 / percent
+        yield order[low : np.searchsorted(ranked, ranked[low] * ratio * ratio, side="right")]
+        if ranked[-1] <= ranked[low] * ratio * ratio:
+            return
+        low = int(np.searchsorted(ranked, ranked[low] * ratio, side="right"))
+
+
+def forest_of(sizes: np.ndarray, points_of, percent: int, sets: list[np.ndarray] | None = None) -> np.ndarray:
+    """The first member of each one's component, where bounds allow links or, with sets, where sets link.
+
+    points_of(rows, width) gives points. Pairs that are in one component already aren't looked at again. A
+    tree of one leaf is its matrix of bounds.
+    """
+    label = np.arange(len(sizes))
+
+    def join_rows(i: int, j: int) -> None:
+        if label[j] != label[i] and (sets is None or linked(sets[i], sets[j], percent)):
+            label[label == max(label[i], label[j])] = min(label[i], label[j])
+
+    for rows in bands(sizes, percent):
+        if len(rows) < 2 or (label[rows] == label[rows[0]]).all():
+            continue
+        own = sizes[rows]
+        points = points_of(rows, width_of(int(own.min())))
+        if len(rows) <= LEAF:
+            bound = np.minimum(points[:, None], points[None]).sum(axis=2)
+            fits = (100 + percent) * bound >= percent * (own[:, None] + own[None])
+            fits &= (100 * own[:, None] >= percent * own[None]) & (100 * own[None] >= percent * own[:, None])
+            for i, j in zip(*np.nonzero(np.triu(fits, 1)), strict=True):
+                join_rows(rows[i], rows[j])
+            continue
+        tree = Tree(points, own)
+        order = rows[tree.order]
+        for i in range(len(order)):
+            for j in tree.search(i, percent, label[order] == label[order[i]]):
+                join_rows(order[i], order[j])
+    return label  # a component's label is its least member: labels only fall
 
 
 def forests(blocks: DataFrame, size: int, percent: int) -> DataFrame:
@@ -291,7 +374,8 @@ def forests(blocks: DataFrame, size: int, percent: int) -> DataFrame:
 
         def forest() -> pa.RecordBatch:
             digests = list(held)
-            root = block_links(list(held.values()), percent)
+            sets = list(held.values())
+            root = forest_of(np.array([len(x) for x in sets]), lambda rows, width: np.stack([point_of(sets[i], width) for i in rows]), percent, sets)
             moved = [i for i in range(len(digests)) if root[i] != i]
             return pa.RecordBatch.from_arrays([pa.array([node_of(digests[i]) for i in moved], pa.int64()), pa.array([node_of(digests[root[i]]) for i in moved], pa.int64()), pa.array([whole] * len(moved), pa.bool_())], names=["u", "v", "whole"])
 
@@ -314,21 +398,19 @@ def join(docs: DataFrame, percent: int = 80, size: int = SHINGLE, key: str = "do
     """One row per row of docs: id, n_shingles, component_id, class_id (the hex digest of the row's set)."""
     described = stored(describe(docs, key, text, size), "shingle-sets")
     rows = described.where("n >= 0")
-    classes = rows.where("n > 0").groupBy("digest").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "print")).alias("first"), F.first("key").alias("key"), F.first("node").alias("node"))
-    classes = classes.select("digest", "key", "node", F.col("first.id").alias("id"), F.col("first.print").alias("print"))
+    one = F.struct(F.col("id").isNull().alias("none"), "id", "print")
+    classes = rows.where("n > 0").groupBy("digest").agg(F.min(one).alias("one"), *[F.first(c).alias(c) for c in ("key", "node", "n", "point")])
+    classes = classes.select("digest", "key", "node", "n", "point", "one.id", "one.print")
 
-    found = components(chains(docs, common_tokens(described), key, text, size, percent))
+    shared = groups(docs, common_tokens(described), key, text, size, percent)
+    points = dealt(parts(shared.join(classes.select("key", "n", "point"), "key"), "grp", "key", chunk), "grp")
+    found = components(candidates(points, percent))
     comps = found.select(F.col("node").alias("key"), F.col("label").alias("comp")).union(found.select("label", "label").distinct())
-    active = classes.join(comps, "key")
-    sizes = active.groupBy("comp").agg(F.count(F.lit(1)).alias("classes")).where("classes > 1")
-    cut = active.join(sizes, "comp").withColumn("chunks", F.ceil(F.col("classes") / chunk).cast("int"))
-    cut = cut.withColumn("own", F.pmod(F.xxhash64("digest"), F.col("chunks")).cast("int"))
-    placed = stored(cut.select("comp", "own", "chunks", "digest", "id", "print"), "blocks")
+    placed = stored(parts(classes.select("key", "digest", "id", "print").join(comps, "key"), "comp", "digest", chunk), "blocks")
     texts = _texts(docs, key, text)
-    moved = placed.join(texts, placed["id"].eqNullSafe(texts["id"]) & (placed["print"] == texts["print"])).drop("id", "print")
-    other = moved.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    blocks = other.select("comp", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("chunks") == 1).alias("whole"), "digest", "text")
-    links = stored(forests(blocks.repartition("comp", "lo", "hi").sortWithinPartitions("comp", "lo", "hi"), size, percent), "links")
+    moved = placed.join(texts, placed["id"].eqNullSafe(texts["id"]) & (placed["print"] == texts["print"]))
+    blocks = dealt(moved.select("comp", "lo", "hi", "whole", "digest", "text"), "comp")
+    links = stored(forests(blocks, size, percent), "links")
 
     labels = links.where("whole").select(F.col("u").alias("node"), F.col("v").alias("label")).union(components(links.where("not whole").select("u", "v")))
     ids = classes.select("digest", "id", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
