@@ -21,8 +21,8 @@ import numpy as np
 TABLE = 400_000
 #: Characters that Python counts as blanks and the tokenizers don't.
 ODD = re.compile("[\x1c-\x1f]")
-#: What a byte-level text must not hold to be cut at single spaces and line ends.
-ODD_BYTES = re.compile("[ \n][ \n]|^[ \n]|[ \n]$|[^\\S \n]|[\x00\x1c-\x1f\x85᠎​﻿]")
+#: What a word of a byte-level text must not hold, if it is to stand between single spaces or line ends.
+ODD_BYTES = re.compile("[\\s\x00\x1c-\x1f\x85\u180e\u200b\ufeff]")
 #: Letters that every library counts as letters, then signs that none counts as letters, digits or contractions.
 PARTS = re.compile("([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([.,;:!?*#$%&|()\"-]*)")
 
@@ -51,6 +51,10 @@ def _byte_signs() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
+class _Odd(Exception):
+    pass
+
+
 class Encoder(dict):
     """Calling it gives a text's ids as little-endian unsigned 32-bit integers, without special tokens.
     As a dict it maps words to ids."""
@@ -71,7 +75,8 @@ class Encoder(dict):
             found = self.old_parts.get(text)
             if found is None:
                 signs = self.signs
-                found = array("I", [t.id for t in self.model.tokenize("".join([signs[b] for b in text.encode()]))]).tobytes()
+                shown = text.replace(" ", signs[32]) if text.isascii() and text != "\n" else "".join([signs[b] for b in text.encode()])
+                found = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
             if len(self.parts) >= TABLE:
                 self.old_parts, self.parts = self.parts, {}
             self.parts[text] = found
@@ -119,11 +124,14 @@ class ByteWords(Encoder):
     """For a byte-level tokenizer whose pieces may begin with one space.
 
     Words are kept as they follow a space, with a line end before them as they follow that, and with a
-    null before them as they begin a text.
+    null before them as they begin a text. A new word that is empty or holds a blank shows that blanks stand
+    together or that there are others than spaces and line ends: then the text goes to the tokenizer whole.
     """
 
     def word(self, word: str) -> bytes:
-        lead, bare = (word[0], word[1:]) if word[0] in "\0\n" else (" ", word)
+        lead, bare = (word[0], word[1:]) if word[:1] in ("\0", "\n") else (" ", word)
+        if not bare or ODD_BYTES.search(bare):
+            raise _Odd
         m = PARTS.fullmatch(bare)
         space = " " if lead == " " else ""
         ids = self.piece(space + m[1]) + (self.piece(m[2]) if m[2] else b"") if m else self.whole(space + bare)
@@ -132,6 +140,7 @@ class ByteWords(Encoder):
     def __call__(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if ODD_BYTES.search(text):
+        try:
+            return self.joined(("\0" + text.replace("\n", " \n")).split(" "))
+        except _Odd:
             return self.whole(text)
-        return self.joined(("\0" + text.replace("\n", " \n")).split(" "))
