@@ -40,12 +40,15 @@ def assistant_episodes(spark, sf_dir):
     return episodes(turns(spark, sf_dir), None).select("session_id", "turn", "text")
 
 
-@query(f"""SELECT conv_id AS session_id, turn, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(text, '\\b([A-Z][a-zA-Z0-9]+(?:\\s+[A-Z][a-zA-Z0-9]+)*)\\b', 1), lambda e: e NOT IN ({_STOP}) AND length(e) >= 2))), '|') AS entities
-FROM conversations WHERE len(list_distinct(list_filter(regexp_extract_all(text, '\\b([A-Z][a-zA-Z0-9]+(?:\\s+[A-Z][a-zA-Z0-9]+)*)\\b', 1), lambda e: e NOT IN ({_STOP}) AND length(e) >= 2))) <= 8 AND NOT regexp_matches(text, '[^\\x00-\\x7F]')""")
+#: Letters that some regex engines don't count as parts of words; an underscore stands in for them.
+_LATIN = "[À-ÖØ-öø-ÿĀ-ſ]"
+
+
+@query(f"""WITH l AS (SELECT conv_id AS session_id, turn, list_filter(regexp_extract_all(regexp_replace(text, '{_LATIN}', '_', 'g'), '\\b([A-Z][a-zA-Z0-9]+(?:\\s+[A-Z][a-zA-Z0-9]+)*)\\b', 1), lambda e: e NOT IN ({_STOP}) AND length(e) >= 2) AS l FROM conversations)
+SELECT session_id, turn, array_to_string(list_filter(l, lambda e, i: list_position(l, e) = i)[1:8], '|') AS entities FROM l""")
 def entity_extract(spark, sf_dir):
-    """Of ASCII turns with at most eight entities: regex engines differ on what borders a word elsewhere."""
-    found = turns(spark, sf_dir).where(~F.col("text").rlike("[^\\x00-\\x7F]")).select("session_id", "turn", "text", X.entities(F.concat(F.col("text"), F.lit(" "))).alias("e"), F.array_distinct(F.filter(F.regexp_extract_all("text", F.lit("\\b([A-Z][a-zA-Z0-9]+(?:\\s+[A-Z][a-zA-Z0-9]+)*)\\b"), F.lit(1)), lambda e: ~e.isin(*NOT_ENTITIES))).alias("all"))
-    return found.where(F.size("all") <= 8).select("session_id", "turn", F.array_join(F.array_sort("e"), "|").alias("entities"))
+    plain = F.regexp_replace("text", _LATIN, "_")
+    return turns(spark, sf_dir).select("session_id", "turn", F.array_join(X.entities(plain), "|").alias("entities"))
 
 
 @query("""WITH w AS (SELECT conv_id * 1000 + turn AS id, conv_id AS s, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]{9,}'))) AS entity FROM conversations),

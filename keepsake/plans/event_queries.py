@@ -8,7 +8,6 @@ from ..operators import hawkes
 from ..operators.selection import utility
 from .registry import query, read
 
-AT = 19760.0
 EVENTS = "e AS (SELECT user_id AS key, epoch_us(ts) / 86400000000.0 AS day, event_id, event_type, ts FROM events)"
 
 

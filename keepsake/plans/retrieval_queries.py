@@ -115,10 +115,11 @@ def sieve_thresholds(spark, sf_dir):
     return spark.range(1).select(F.explode(selection.thresholds(0.0003, 0.5, 2.0)).alias("t")).select(F.round("t", 9).alias("threshold"))
 
 
-@query("""WITH l AS (SELECT b.item_id, d.doc_id, regexp_extract_all(lower(b.text), '[a-z0-9]+') AS q, string_split(d.text, chr(10)) AS ls FROM benchmark b JOIN documents d ON d.doc_id = b.item_id * 3),
+@query("""WITH l AS (SELECT b.item_id, d.doc_id, regexp_extract_all(lower(b.text), '[a-z0-9]+') AS q, string_split(d.text, chr(10)) AS ls FROM benchmark b JOIN documents d ON d.doc_id % 40 = b.item_id),
 x AS (SELECT item_id, doc_id, q, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM l), s AS (SELECT item_id, doc_id, line, i, len(list_intersect(list_distinct(regexp_extract_all(lower(line), '[a-z0-9]+')), list_distinct(q))) AS n FROM x)
 SELECT item_id, doc_id, arg_max(line, (n, -i)) AS line FROM s GROUP BY 1, 2""")
 def best_line(spark, sf_dir):
+    """Of every document, for the item that its id names."""
     b = read(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("q"))
-    d = read(spark, sf_dir, "documents").select((F.col("doc_id")).alias("doc_id"), "text")
-    return d.join(b.withColumn("doc_id", F.col("item_id") * 3), "doc_id").select("item_id", "doc_id", packing.best_line(F.col("text"), tokens(F.col("q"))).alias("line"))
+    d = read(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 40).alias("item_id"), "text")
+    return d.join(b, "item_id").select("item_id", "doc_id", packing.best_line(F.col("text"), tokens(F.col("q"))).alias("line"))

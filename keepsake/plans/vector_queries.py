@@ -63,12 +63,12 @@ def coverage_set_loss(spark, sf_dir):
     return coverage.loss_of_set(_sims(spark, sf_dir), gone).select("grp", F.round("loss", 6).alias("loss"))
 
 
-@query(f"""WITH {SIMS}, k AS (SELECT grp, h, max(sim) AS best FROM x WHERE s % 2 = 1 GROUP BY 1, 2), c AS (SELECT grp, h AS s, hv AS sv FROM t WHERE h % 7 = 1)
+@query(f"""WITH {SIMS}, k AS (SELECT grp, h, max(sim) AS best FROM x WHERE s % 2 = 1 GROUP BY 1, 2), c AS (SELECT grp, h AS s, hv AS sv FROM t WHERE h % 7 <> 0)
 SELECT c.grp, c.s, round(sum(t.w * greatest(greatest(list_dot_product(hv::DOUBLE[], sv::DOUBLE[]), 0) - coalesce(best, 0), 0)), 5) AS gain FROM c JOIN t ON c.grp = t.grp LEFT JOIN k ON k.grp = t.grp AND k.h = t.h GROUP BY 1, 2""")
 def coverage_gain_without(spark, sf_dir):
     t = targets(spark, sf_dir)
     gone = selected(t).where("s % 2 = 0").select("grp", "s")
-    return coverage.gain_without(vectors(t).where("s % 7 = 1"), _sims(spark, sf_dir), t, gone).select("grp", "s", F.round("gain", 5).alias("gain"))
+    return coverage.gain_without(vectors(t).where("s % 7 <> 0"), _sims(spark, sf_dir), t, gone).select("grp", "s", F.round("gain", 5).alias("gain"))
 
 
 @query(f"""WITH {SIMS}, y AS (SELECT t.grp, c.h AS s, sum(t.w * greatest(list_dot_product(t.hv::DOUBLE[], c.hv::DOUBLE[]), 0)) AS single FROM t JOIN t c USING (grp) GROUP BY 1, 2)
