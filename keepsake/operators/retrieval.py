@@ -134,3 +134,20 @@ def diversified(scored: DataFrame, n: int) -> DataFrame:
     first = ((F.col("_own") == 1) & (heads <= n)).cast("int")
     marked = marked.withColumn("_first", first)
     return marked.select(*scored.columns, F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("_first"), "_all")).alias("position"))
+
+
+def source_locations(facts: DataFrame, episodes: DataFrame) -> DataFrame:
+    """facts: id, sources; episodes: id, session_id, turn. Where each fact was said."""
+    cited = facts.select(F.col("id").alias("fact"), F.explode("sources").alias("id"))
+    return cited.join(episodes, "id").select("fact", "session_id", "turn")
+
+
+def evidence(candidates: DataFrame, sessions: DataFrame) -> DataFrame:
+    """candidates: id, session_id, turn; sessions: question_id, session_id, turns (null: all). Each question's evidence."""
+    right = F.col("turns").isNull() | (F.col("turn") < 0) | F.array_contains("turns", F.col("turn"))
+    return candidates.join(sessions, "session_id").where(right).select("question_id", "id")
+
+
+def resolved(candidates: DataFrame, aliases: DataFrame) -> DataFrame:
+    """aliases: id, stored. Candidates under the ids of the entries they were merged into."""
+    return candidates.join(aliases, "id", "left").withColumn("id", F.coalesce("stored", "id")).drop("stored")

@@ -122,3 +122,31 @@ def cache_misses(spark, sf_dir):
 
     c = read(spark, sf_dir, "conversations").select("conv_id", "turn", F.sha2(F.concat_ws("|", "role", "text"), 256).alias("key"))
     return missing(c, c.where("turn = 0").select("key"))
+
+
+def _placed(spark, sf_dir):
+    return turns(spark, sf_dir).select((F.col("session_id") * 1000 + F.col("turn")).alias("id"), "session_id", "turn", "text")
+
+
+@query("WITH t AS (SELECT conv_id * 1000 + turn AS id, conv_id AS session_id, turn FROM conversations) SELECT f.id AS fact, e.session_id, e.turn FROM t f JOIN t e ON e.id IN (f.id, f.id - 1)")
+def source_join(spark, sf_dir):
+    """Every turn cites itself and the one before it."""
+    t = _placed(spark, sf_dir)
+    return retrieval.source_locations(t.select("id", F.array(F.col("id"), F.col("id") - 1).alias("sources")), t.select("id", "session_id", "turn"))
+
+
+@query("SELECT conv_id % 10 AS question_id, conv_id * 1000 + turn AS id FROM conversations WHERE conv_id % 2 = 0 OR turn IN (0, 2)")
+def evidence_predicate(spark, sf_dir):
+    """Sessions of odd number count only with their first and third turns."""
+    t = _placed(spark, sf_dir)
+    sessions = t.select("session_id").distinct().select((F.col("session_id") % 10).alias("question_id"), "session_id", F.when(F.col("session_id") % 2 == 1, F.array(F.lit(0), F.lit(2)).cast("array<bigint>")).alias("turns"))
+    return retrieval.evidence(t.select("id", "session_id", "turn"), sessions)
+
+
+@query("SELECT conv_id AS session_id, turn, min(conv_id * 1000 + turn) OVER (PARTITION BY text) AS id FROM conversations")
+def alias_resolution(spark, sf_dir):
+    """Equal turns are known by the first one's id."""
+    t = _placed(spark, sf_dir)
+    first = t.groupBy("text").agg(F.min("id").alias("stored"))
+    aliases = t.join(first, "text").where("id <> stored").select("id", "stored")
+    return retrieval.resolved(t.select("id", "session_id", "turn"), aliases).select("session_id", "turn", "id")
