@@ -1,7 +1,8 @@
 """Connected components of an edge table, by alternating large and small stars.
 
-Each round is two sums and two joins; hubs are summed before they move and their rows in a join are split
-by adaptive execution, so no node's neighbours meet in one task. Rounds end in the shared folder.
+Each round is two sums and two joins. A hub's rows are summed before they move. The joins are on the node's
+complement, so that sums and edges are dealt anew for them and adaptive execution may split a hub's rows.
+Rounds end in the shared folder.
 """
 
 from __future__ import annotations
@@ -22,10 +23,11 @@ def components(edges: DataFrame) -> DataFrame:
     before = _state(edges)
     while before[0]:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.bitwise_not("u").alias("k"), F.least("u", "m").alias("m"))
+        large = both.withColumn("k", F.bitwise_not("u")).join(least, "k").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
+        to_least = least.select(F.bitwise_not("u").alias("k"), "m")
+        small = large.withColumn("k", F.bitwise_not("u")).join(to_least, "k").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
         edges = stored(small, "edges")
         after = _state(edges)
         if after == before:

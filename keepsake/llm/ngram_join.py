@@ -45,6 +45,8 @@ from .shingles import shingle_sets
 CHUNK, COMMON, LEAST, MOST_COMMON = 2048, 1000, 8, 1 << 20
 #: Least and most token groups (coordinates of a point), points in a leaf, children of a node.
 GROUPS, MOST_GROUPS, LEAF, FAN = 64, 4096, 32, 16
+#: Rows of blocks (an id and a hash each) that are broadcast to fetch their texts; more are joined by a shuffle.
+BROADCAST = 500_000
 #: A count that a byte can't hold stands for any number.
 FULL = 1 << 20
 #: Tokens that a task holds before it sums or sends them.
@@ -408,7 +410,8 @@ def join(docs: DataFrame, percent: int = 80, size: int = SHINGLE, key: str = "do
     comps = found.select(F.col("node").alias("key"), F.col("label").alias("comp")).union(found.select("label", "label").distinct())
     placed = stored(parts(classes.select("key", "digest", "id", "print").join(comps, "key"), "comp", "digest", chunk), "blocks")
     texts = _texts(docs, key, text)
-    moved = placed.join(texts, placed["id"].eqNullSafe(texts["id"]) & (placed["print"] == texts["print"]))
+    few = F.broadcast if placed.count() <= BROADCAST else (lambda df: df)
+    moved = texts.join(few(placed), placed["id"].eqNullSafe(texts["id"]) & (placed["print"] == texts["print"]))
     blocks = dealt(moved.select("comp", "lo", "hi", "whole", "digest", "text"), "comp")
     links = stored(forests(blocks, size, percent), "links")
 
