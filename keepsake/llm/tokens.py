@@ -18,7 +18,7 @@ import numpy as np
 
 #: Entries of a generation of each of a worker's two tables. A full one becomes the old generation, whose
 #: entries move to the new one as they are met again.
-TABLE = 400_000
+TABLE = 150_000
 #: Characters that Python counts as blanks and the tokenizers don't.
 ODD = re.compile("[\x1c-\x1f]")
 #: What a word of a byte-level text must not hold, if it is to stand between single spaces or line ends.
