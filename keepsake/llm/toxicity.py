@@ -2,11 +2,13 @@
 
 Two zstandard dictionaries are trained on a bounded sample of labelled rows. A word enters as a staircase
 of its beginnings (`` i id idi idio idiot ``), so a shared stem of any length is a match long enough for
-the compressor to use; one such staircase is a window. The toxic dictionary holds the staircases of words
-whose beginnings are far more frequent among toxic rows, the strongest last, where offsets are short; the
-ordinary one holds those of the commonest words of the other rows. A window's gain is the bytes that the
-toxic dictionary saves against the ordinary one, per byte. Gains repeat with the words, so each worker
-keeps them in a table of bounded size.
+the compressor to use; one such staircase is a window. Words end at every character that is no letter. A
+word over ten letters is a window from each of its letters on but the last two, so tails of compounds and
+text without blanks are read wholly; dictionaries learn from windows of such a word that overlap by half.
+The toxic dictionary holds the staircases of words whose beginnings are far more frequent among toxic rows,
+the strongest last, where offsets are short; the ordinary one holds those of the commonest words of the
+other rows. A window's gain is the bytes that the toxic dictionary saves against the ordinary one, per
+byte. Gains repeat with the words, so each worker keeps them in tables of bounded size.
 
 A text's score is a logistic function of a few numbers of its gains, calibrated on gains from
 dictionaries that haven't seen the row (two folds). Whole texts are read, with no shuffle.
@@ -34,18 +36,30 @@ from .shared import is_held_out, table
 
 #: At most so many labelled rows are learned from.
 SAMPLE = 5000
-#: Letters of a word that count, least letters of a stem, words in the ordinary dictionary, entries of a worker's table.
+#: Letters of a window, least letters of a stem, words in the ordinary dictionary, entries of a worker's tables.
 REACH, STEM, ORDINARY, TABLE = 10, 3, 2000, 2_000_000
 #: A stem is toxic if so many toxic rows have it and its log odds exceed this.
 ROWS, ODDS = 4, 3.0
 THRESHOLD = 0.3
-ASIDE = re.compile(r"[\W\d_]+")
-
-
-def letters(word: str) -> str:
-    """The letters of a blank-separated word that count, lower-cased."""
-    word = word.lower()
-    return (word if word.isalpha() else ASIDE.sub("", word))[:REACH]
+#: Blank-separated runs up to so many characters are remembered.
+SHORT = 40
+LETTERS = re.compile(r"[^\W\d_]+")
+
+
+def windows(run: str, learn: bool = False) -> list[str]:
+    """The windows of a blank-separated run's words, lower-cased. A word longer than REACH has one from each letter
+    that a stem can begin at, and to learn from, whole ones that overlap by half."""
+    run = run.lower()
+    if run.isalpha() and len(run) <= REACH:
+        return [run]
+    found = []
+    for w in LETTERS.findall(run):
+        if len(w) <= REACH:
+            found.append(w)
+        else:
+            at = (*range(0, len(w) - REACH, REACH // 2), len(w) - REACH) if learn else range(len(w) - STEM + 1)
+            found.extend(w[i : i + REACH] for i in at)
+    return found
 
 
 def staircase(key: str) -> bytes:
@@ -59,7 +73,7 @@ class Dictionaries:
 
 
 def train(texts: list[str], toxic: np.ndarray) -> Dictionaries:
-    keys = [{letters(w) for w in (t or "").split()} - {""} for t in texts]
+    keys = [{k for w in set((t or "").split()) for k in windows(w, learn=True)} for t in texts]
     n = Counter(bool(y) for y in toxic)
     words, stems = {True: Counter(), False: Counter()}, {True: Counter(), False: Counter()}
     for own, y in zip(keys, toxic, strict=True):
@@ -80,8 +94,8 @@ class Gains:
 
     def __init__(self, d: Dictionaries):
         self.toxic, self.ordinary = (self._compressor(x) for x in (d.toxic, d.ordinary))
-        self.by_word: dict[str, float] = {}
-        self.by_key: dict[str, float] = {"": 0.0}
+        self.by_run: dict[str, tuple[float, ...]] = {}
+        self.by_key: dict[str, tuple[float, ...]] = {}
 
     @staticmethod
     def _compressor(content: bytes):
@@ -92,22 +106,30 @@ class Gains:
         d.precompute_compress(compression_params=p)
         return zstd.ZstdCompressor(dict_data=d, compression_params=p)
 
-    def of(self, word: str) -> float:
-        key = letters(word)
-        if key not in self.by_key:
+    def window(self, key: str) -> tuple[float, ...]:
+        found = self.by_key.get(key)
+        if found is None:
+            if len(self.by_key) >= TABLE:
+                self.by_key = {}
             window = staircase(key)
-            self.by_key[key] = (len(self.ordinary.compress(window)) - len(self.toxic.compress(window))) / len(window)
-        self.by_word[word] = found = self.by_key[key]
+            self.by_key[key] = found = ((len(self.ordinary.compress(window)) - len(self.toxic.compress(window))) / len(window),)
+        return found
+
+    def of(self, run: str) -> tuple[float, ...]:
+        """The gains of a run's windows; of a run without letters one gain of zero."""
+        keys = windows(run)
+        found = self.window(keys[0]) if len(keys) == 1 else tuple(g for k in keys for g in self.window(k)) or (0.0,)
+        if len(run) <= SHORT:
+            if len(self.by_run) >= TABLE:
+                self.by_run = {}
+            self.by_run[run] = found
         return found
 
     def features(self, text: str | None) -> list[float]:
-        words = (text or "").split()
-        if not words:
+        runs = (text or "").split()
+        if not runs:
             return [0.0] * 5
-        if len(self.by_word) + len(words) > TABLE:
-            self.by_word, self.by_key = {}, {"": 0.0}
-        known = self.by_word
-        x = np.array([known[w] if w in known else self.of(w) for w in words])
+        x = np.array([g for r in runs for g in self.by_run.get(r) or self.of(r)])
         high = np.sort(x[x > 0.1])[::-1] if x.max() > 0.1 else np.zeros(1)
         return [high[0], high[:3].sum() / 3, (high - 0.1).clip(0).sum() / len(x), (high - 0.2).clip(0).sum() / np.sqrt(len(x)), (high > 0.3).sum() / len(x)]
 

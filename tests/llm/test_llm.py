@@ -114,6 +114,20 @@ def test_classifiers_odd(spark, odd, empty, labels):
                 assert len(rows) == d.count() and all(0 <= r.score <= 1 for r in rows)
 
 
+def test_toxicity_reads_whole_runs():
+    mild = [f"the {w} day was calm and {w} again" for w in ("quiet", "sunny", "plain", "early", "late")] * 4
+    model = toxicity.train(mild + [f"you {w} idiot go" for w in ("silly", "daft", "odd", "dull", "rude")] * 4, np.array([0] * 20 + [1] * 20))
+    gains = toxicity.Gains(model)
+    top = gains.features("idiot")[0]
+    assert top > 0.3
+    for text in ("wonderful,you-worthless-idiot", "read/this/idiot", "wonderfulweatheridiot", "x" * 200 + "idiot", "calm1idiot2calm"):
+        assert gains.features(text)[0] > 0.3, text
+    assert gains.features("wonderful,calm-weather")[0] <= 0.1
+    word = "abcdefghijklmnopqrstuvwxyz"
+    for learn in (False, True):
+        assert "".join(sorted(set("".join(toxicity.windows(word, learn))))) == word
+
+
 def test_quality_rules_separate():
     rng = np.random.default_rng(0)
     x = rng.uniform(size=(600, 3))
