@@ -15,22 +15,27 @@ def near_pairs(entries: DataFrame, threshold: float) -> DataFrame:
     return a.join(b, "grp").where("a < b").select("grp", "a", "b", dot(F.col("av"), F.col("bv")).alias("sim")).where(F.round("sim", 6) >= threshold)
 
 
-def clusters(entries: DataFrame, pairs: DataFrame, most: int = 50) -> DataFrame:
-    """(grp, id, cluster): single-link components, named by their least id. Labels fall along pairs and are
-    written between rounds where the session has a checkpoint folder."""
+def clusters(entries: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(grp, id, cluster): single-link components, named by their least id. Large and small stars alternate until
+    no edge changes; edges are written between rounds where the session has a checkpoint folder."""
     spark = entries.sparkSession
     keep = (lambda d: d.checkpoint()) if spark.sparkContext.getCheckpointDir() else (lambda d: d.persist())
-    both = keep(pairs.select("grp", "a", "b").union(pairs.select("grp", F.col("b").alias("a"), F.col("a").alias("b"))))
-    labels = keep(entries.select("grp", F.col("id"), F.col("id").alias("cluster")))
-    for _ in range(most):
-        near = both.join(labels.withColumnRenamed("id", "b"), ["grp", "b"]).groupBy("grp", F.col("a").alias("id")).agg(F.min("cluster").alias("least"))
-        new = labels.join(near, ["grp", "id"], "left").select("grp", "id", F.least("cluster", "least").alias("new"), "cluster")
-        hop = new.select("grp", F.col("id").alias("new"), F.col("new").alias("over"))
-        moved = keep(new.join(hop, ["grp", "new"], "left").select("grp", "id", F.least("new", "over").alias("to"), "cluster"))
-        labels = moved.select("grp", "id", F.col("to").alias("cluster"))
-        if moved.where("to <> cluster").isEmpty():
+    state = lambda d: tuple(d.agg(F.count(F.lit(1)), F.sum(F.xxhash64("grp", "u", "v").cast("decimal(38,0)"))).first())
+    edges = keep(pairs.where("a <> b").select("grp", F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    before = state(edges)
+    while before[0]:
+        both = edges.union(edges.select("grp", F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("grp", "u").agg(F.min("v").alias("m")).select("grp", "u", F.least("u", "m").alias("m"))
+        large = both.join(least, ["grp", "u"]).where("v > u").select("grp", F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("grp", "u").agg(F.min("v").alias("m"))
+        small = large.join(least, ["grp", "u"]).where("v <> m").select("grp", F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("grp", "u", F.col("m").alias("v"))).distinct()
+        edges = keep(small)
+        after = state(edges)
+        if after == before:
             break
-    return labels
+        before = after
+    labels = edges.select("grp", F.col("u").alias("id"), F.col("v").alias("label"))
+    return entries.join(labels, ["grp", "id"], "left").select("grp", "id", F.coalesce("label", "id").alias("cluster"))
 
 
 def medoids(entries: DataFrame, labels: DataFrame, least: int = 3) -> DataFrame:
