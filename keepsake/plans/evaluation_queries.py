@@ -84,6 +84,13 @@ def evicted_diff(spark, sf_dir):
 @query("SELECT (SELECT count(*) FROM (SELECT doc_id FROM labels WHERE quality = 1 UNION SELECT doc_id FROM labels WHERE toxic = 1)) AS either, (SELECT count(*) FROM (SELECT doc_id FROM labels WHERE quality = 1 INTERSECT SELECT doc_id FROM labels WHERE toxic = 1)) AS both")
 def id_set_algebra(spark, sf_dir):
     l = read(spark, sf_dir, "labels")
+@query()
+def key_drift_names(spark, sf_dir):
+    """Close names, whole: the words of each test item as its attributes."""
+    words = read(spark, sf_dir, "benchmark").select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9_]+"), F.lit(0)))).alias("attribute"), F.concat(F.lit("item_"), F.col("item_id").cast("string")).alias("entity"))
+    return evaluation.key_drift(words)
+
+
     flags = l.groupBy("doc_id").agg(F.max((F.col("quality") == 1).cast("int")).alias("q"), F.max((F.col("toxic") == 1).cast("int")).alias("t"))
     return flags.agg(F.sum(F.greatest("q", "t")).cast("long").alias("either"), F.sum(F.least("q", "t")).cast("long").alias("both"))
 
