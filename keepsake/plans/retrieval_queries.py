@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.text import count_tokens, tokens
+from ..functions.text import count_tokens, entailment, tokens
 from ..operators import packing, retrieval, selection
 from .registry import query, read
 
@@ -123,3 +123,21 @@ def best_line(spark, sf_dir):
     b = read(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("q"))
     d = read(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 40).alias("item_id"), "text")
     return d.join(b, "item_id").select("item_id", "doc_id", packing.best_line(F.col("text"), tokens(F.col("q"))).alias("line"))
+
+
+def candidates(spark, sf_dir):
+    """query_id, q, id, text: every item with the documents that fusion over all documents finds for it."""
+    found = rrf_fusion(spark, sf_dir).select("query_id", "id")
+    return found.join(_asked(spark, sf_dir).withColumnRenamed("text", "q"), "query_id").join(_docs(spark, sf_dir), "id")
+
+
+@query()
+def entail_candidates(spark, sf_dir):
+    c = candidates(spark, sf_dir)
+    return c.select(F.col("query_id").alias("item_id"), F.col("id").alias("doc_id"), F.round(entailment(F.col("text"), F.col("q")), 6).alias("support"))
+
+
+@query()
+def best_line_candidates(spark, sf_dir):
+    c = candidates(spark, sf_dir)
+    return c.select(F.col("query_id").alias("item_id"), F.col("id").alias("doc_id"), packing.best_line(F.col("text"), tokens(F.col("q"))).alias("line"))

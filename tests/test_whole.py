@@ -12,3 +12,11 @@ def test_key_drift(spark):
     rows = [("user", "location"), ("user", "current_location"), ("user", "allergy"), ("user", "colour"), ("user", "color"), ("user", "loc"), ("rachel", "employer"), ("rachel_colleague", "employer")]
     got = {tuple(r) for r in evaluation.key_drift(spark.createDataFrame(rows, "entity string, attribute string")).collect()}
     assert got == {("attribute", "user", "current_location", "location"), ("attribute", "user", "color", "colour"), ("entity", None, "rachel", "rachel_colleague")}
+
+
+def test_candidates_have_all_items(spark):
+    items = {r.item_id for r in spark.read.parquet(f"{FOLDER}/benchmark.parquet").select("item_id").collect()}
+    for name in ("entail_candidates", "best_line_candidates"):
+        got = catalogue.queries()[name](spark, FOLDER).select("item_id", "doc_id").collect()
+        assert {r.item_id for r in got} == items
+        assert any(r.doc_id % 40 != r.item_id for r in got)
