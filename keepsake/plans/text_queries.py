@@ -62,6 +62,13 @@ def canonical_names(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", X.canonical_entity(n).alias("entity"), X.canonical_attribute(n).alias("attribute"), X.clean_value(n).alias("value"), X.attribute_from_value(n).alias("named"))
 
 
+@query()
+def canonical_texts(spark, sf_dir):
+    """Of whole documents."""
+    n = F.col("text")
+    return read(spark, sf_dir, "documents").select("doc_id", X.canonical_entity(n).alias("entity"), X.canonical_attribute(n).alias("attribute"), X.clean_value(n).alias("value"), X.attribute_from_value(n).alias("named"))
+
+
 @query("""WITH a AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'Yes, ' WHEN 1 THEN 'no; not yes ' WHEN 2 THEN 'maybe ' ELSE '' END || '[ep_' || substr(sha1(CAST(doc_id AS VARCHAR)), 1, 10) || '] [f_zz] [raw_' || substr(sha1(CAST(doc_id % 10 AS VARCHAR)), 1, 6) || ']' AS a FROM documents)
 SELECT doc_id, array_to_string(regexp_extract_all(a, '\\[((?:ep|f|fs|raw)_[0-9a-f]{6,})\\]', 1), ',') AS cited, CASE nullif(regexp_extract(lower(a), '\\b(yes|no)\\b', 1), '') WHEN 'yes' THEN true WHEN 'no' THEN false END AS verdict FROM a""")
 def citations_and_verdicts(spark, sf_dir):

@@ -20,3 +20,8 @@ def test_candidates_have_all_items(spark):
         got = catalogue.queries()[name](spark, FOLDER).select("item_id", "doc_id").collect()
         assert {r.item_id for r in got} == items
         assert any(r.doc_id % 40 != r.item_id for r in got)
+
+
+def test_canonical_texts_are_whole(spark):
+    got = catalogue.queries()["canonical_texts"](spark, FOLDER)
+    assert got.where(F.length("value") > 60).count() > 0 and got.where(F.length("attribute") > 60).count() > 0
