@@ -40,11 +40,20 @@ _HEX = "list_reduce(list_prepend(0::BIGINT, list_transform(range(1, 9), lambda p
 d AS (SELECT v.grp, rep, {_HEX} % n AS i FROM v JOIN n USING (grp), range(0, 200) t(rep)), m AS (SELECT d.grp, rep, round(avg(v), 9) AS m FROM d JOIN v ON v.grp = d.grp AND v.i = d.i GROUP BY 1, 2),
 o AS (SELECT grp, m, row_number() OVER (PARTITION BY grp ORDER BY m, rep) - 1 AS k FROM m) SELECT grp, any_value(n) AS n, round(any_value(mean), 6) AS mean, round(max(m) FILTER (k = 5), 6) AS lo, round(max(m) FILTER (k = 195), 6) AS hi FROM o JOIN n USING (grp) GROUP BY grp""")
 def bootstrap_ci(spark, sf_dir):
+    return evaluation.bootstrap(_quality_by_lang(spark, sf_dir), 200)
+
+
+@query()
+def bootstrap_ci_whole(spark, sf_dir):
+    """With the operator's own 1000 resamples."""
+    return evaluation.bootstrap(_quality_by_lang(spark, sf_dir))
+
+
+def _quality_by_lang(spark, sf_dir):
     from pyspark.sql import Window as W
 
     j = read(spark, sf_dir, "labels").join(read(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
-    v = j.select(F.col("lang").alias("grp"), (F.row_number().over(W.partitionBy("lang").orderBy("doc_id")) - 1).cast("long").alias("i"), F.col("quality").cast("double").alias("v"))
-    return evaluation.bootstrap(v, 200)
+    return j.select(F.col("lang").alias("grp"), (F.row_number().over(W.partitionBy("lang").orderBy("doc_id")) - 1).cast("long").alias("i"), F.col("quality").cast("double").alias("v"))
 
 
 @query("""WITH e AS (SELECT doc_id % 50 AS question_id, doc_id AS id FROM documents) SELECT question_id, count(*) AS n_evidence, count(*) FILTER (id % 2 = 0) AS n_written, count(*) FILTER (id % 3 = 0) AS n_survived, count(*) FILTER (id % 6 = 0) AS n_injected FROM e GROUP BY 1""")
@@ -75,6 +84,13 @@ def key_drift(spark, sf_dir):
     return a.join(b, "lang").where((F.col("a") < F.col("b")) & (F.col("b").startswith(F.col("a")) | F.col("b").endswith(F.col("a")))).select("lang", "a", "b")
 
 
+@query()
+def key_drift_names(spark, sf_dir):
+    """Close names, whole: the words of each test item as its attributes."""
+    words = read(spark, sf_dir, "benchmark").select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9_]+"), F.lit(0)))).alias("attribute"), F.concat(F.lit("item_"), F.col("item_id").cast("string")).alias("entity"))
+    return evaluation.key_drift(words)
+
+
 @query("SELECT doc_id FROM (SELECT doc_id FROM labels WHERE quality = 1 EXCEPT ALL SELECT doc_id FROM labels WHERE toxic = 1)")
 def evicted_diff(spark, sf_dir):
     l = read(spark, sf_dir, "labels")
@@ -84,13 +100,6 @@ def evicted_diff(spark, sf_dir):
 @query("SELECT (SELECT count(*) FROM (SELECT doc_id FROM labels WHERE quality = 1 UNION SELECT doc_id FROM labels WHERE toxic = 1)) AS either, (SELECT count(*) FROM (SELECT doc_id FROM labels WHERE quality = 1 INTERSECT SELECT doc_id FROM labels WHERE toxic = 1)) AS both")
 def id_set_algebra(spark, sf_dir):
     l = read(spark, sf_dir, "labels")
-@query()
-def key_drift_names(spark, sf_dir):
-    """Close names, whole: the words of each test item as its attributes."""
-    words = read(spark, sf_dir, "benchmark").select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9_]+"), F.lit(0)))).alias("attribute"), F.concat(F.lit("item_"), F.col("item_id").cast("string")).alias("entity"))
-    return evaluation.key_drift(words)
-
-
     flags = l.groupBy("doc_id").agg(F.max((F.col("quality") == 1).cast("int")).alias("q"), F.max((F.col("toxic") == 1).cast("int")).alias("t"))
     return flags.agg(F.sum(F.greatest("q", "t")).cast("long").alias("either"), F.sum(F.least("q", "t")).cast("long").alias("both"))
 

@@ -108,12 +108,12 @@ def session_dates(spark, sf_dir):
 
 @query()
 def hash_embedding(spark, sf_dir):
-    """Each document's vector: its length and first buckets."""
+    """Each document's vector: its length, first bucket, and a digest of all of it."""
     from ..functions.vectors import dot
     from ..functions.vectors import hash_embedding as embed
 
-    d = read(spark, sf_dir, "documents").select("doc_id", embed(64)("text").alias("v"))
-    return d.select("doc_id", F.round(dot(F.col("v"), F.col("v")), 4).alias("norm"), F.round(F.get("v", F.lit(0)).cast("double"), 5).alias("first"))
+    d = read(spark, sf_dir, "documents").select("doc_id", embed()("text").alias("v"))
+    return d.select("doc_id", F.round(dot(F.col("v"), F.col("v")), 4).alias("norm"), F.round(F.get("v", F.lit(0)).cast("double"), 5).alias("first"), F.sha2(F.array_join(F.transform("v", lambda x: F.format_number(x.cast("double"), 5)), ","), 256).alias("digest"))
 
 
 @query()

@@ -25,3 +25,13 @@ def test_candidates_have_all_items(spark):
 def test_canonical_texts_are_whole(spark):
     got = catalogue.queries()["canonical_texts"](spark, FOLDER)
     assert got.where(F.length("value") > 60).count() > 0 and got.where(F.length("attribute") > 60).count() > 0
+
+
+def test_hash_embedding_is_whole(spark):
+    got = catalogue.queries()["hash_embedding"](spark, FOLDER)
+    assert "digest" in got.columns and got.select("digest").distinct().count() > 1
+
+
+def test_bootstrap_whole(spark):
+    got = catalogue.queries()["bootstrap_ci_whole"](spark, FOLDER).collect()
+    assert got and all(r.lo <= r.mean <= r.hi for r in got)
