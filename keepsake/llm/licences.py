@@ -1,9 +1,9 @@
 """Licence scans (5), native: which paragraphs state a licence, and of which family?
 
-A paragraph is a line. For each family a sparse logistic regression over word unigrams and bigrams is
+Each line is judged, and so are paragraphs, which end at blank lines, for notices that run over lines. For each family a sparse logistic regression over word unigrams and bigrams is
 trained on the driver: positives are the family's templates and worn copies of them, negatives the other
 families, phrases that only sound like licences, and lines of a bounded sample of documents. The lasso
-leaves a few n-grams a family. A paragraph's family is the likeliest one, or `unknown` below a threshold
+leaves a few n-grams a family. A paragraph's families are all confirmed ones, else the likeliest, or `unknown` below a threshold
 calibrated on worn copies and lines that training hasn't seen; a prediction is confirmed when the words of
 one of the family's templates stand in the paragraph to a sufficient share.
 
@@ -53,6 +53,8 @@ UNKNOWN = "unknown"
 #: Sampled documents, their lines at most, worn copies of a template, penalty, least share of a template's words.
 SAMPLE, LINES, COPIES, PENALTY, CONFIRM = 300, 3000, 40, 0.002, 0.6
 BREAK = "[^a-z0-9.]+"
+#: The end of a line before a blank one.
+BLANK_LINE = "\n(?=[ \\t\\r]*(?:\n|$))"
 
 
 def line_words(line: str) -> list[str]:
@@ -137,16 +139,36 @@ def _words(line: Column) -> Column:
 
 
 def _judge(words: Column, model: Model) -> Column:
-    """(family, probability, similarity) of a paragraph's words."""
+    """(family, probability, similarity, confirmed) of words: every confirmed family, or else the likeliest one."""
     pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - 1, F.lit(1))), lambda i: F.concat_ws(" ", F.get(words, i - 1), F.get(words, i)))
-    best = let(F.concat(words, pairs), lambda g: F.array_max(F.array(*[_family(g, f) for f in model.families])))
+    scores = let(F.concat(words, pairs), lambda g: F.array(*[_family(g, f) for f in model.families]))
 
     def of(b: Column) -> Column:
-        similarity = F.coalesce(*[F.when(b["name"] == f.name, F.greatest(*[F.size(F.array_intersect(words, _strings(t))) / len(set(t)) for t in f.templates])) for f in model.families], F.lit(0.0))
+        held = F.coalesce(*[F.when(b["name"] == f.name, _held(words, f)) for f in model.families])
+        return let(held, lambda h: named(b, h["similarity"], h["held"]))
+
+    def named(b: Column, similarity: Column, held: Column) -> Column:
         name = F.when(b["p"] >= model.threshold, b["name"]).otherwise(UNKNOWN)
-        return F.struct(name.alias("family"), b["p"].alias("probability"), similarity.alias("similarity"), ((b["p"] >= model.threshold) & (similarity >= CONFIRM)).alias("confirmed"))
+        return F.struct(name.alias("family"), b["p"].alias("probability"), similarity.alias("similarity"), ((b["p"] >= model.threshold) & (similarity >= CONFIRM)).alias("confirmed"), held.alias("held"))
+
+    def all_of(found: Column) -> Column:
+        sure = F.filter(F.transform(F.filter(found, lambda b: b["p"] >= model.threshold), of), lambda j: j["confirmed"])
+        return let(let(sure, own), lambda s: F.when(F.size(s) > 0, s).otherwise(F.array(of(F.array_max(found)))))
+
+    def own(js: Column) -> Column:
+        # a family whose words all belong to a likelier one's template isn't stated by them
+        return F.filter(js, lambda j: ~F.exists(js, lambda o: (o["probability"] > j["probability"]) & (F.size(F.array_except(j["held"], o["held"])) == 0)))
+
+    return let(scores, all_of)
+
 
-    return let(best, of)
+def _held(words: Column, f: Family) -> Column:
+    """(similarity, held): the template of which the words hold the largest share, and what they hold of it."""
+
+    def of(t: tuple[str, ...]) -> Column:
+        return let(F.array_intersect(words, _strings(t)), lambda h: F.struct((F.size(h) / len(set(t))).alias("similarity"), h.alias("held")))
+
+    return F.array_max(F.array(*map(of, f.templates)))
 
 
 def _family(g: Column, f: Family) -> Column:
@@ -156,12 +178,47 @@ def _family(g: Column, f: Family) -> Column:
     return F.struct((1 / (1 + F.exp(-total))).alias("p"), F.lit(f.name).alias("name"))
 
 
+FOUND = ("family", "probability", "similarity", "confirmed")
+
+
+def _wrapped(lines: Column, own: Column, text: Column, model: Model) -> Column:
+    """Confirmed families that no line of a paragraph states by itself. Its words are judged in windows of twice the
+    longest template, from every such length on, so any run of words as long as a template is in one of them."""
+    step = max(len(t) for f in model.families for t in f.templates)
+
+    def judged(words: Column) -> Column:
+        cut = F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - 1, F.lit(0)), F.lit(step)), lambda at: F.slice(words, at + 1, 2 * step))
+        gated = F.filter(cut, lambda w: F.arrays_overlap(w, _strings(model.gates)))
+        return F.filter(F.flatten(F.transform(gated, lambda w: _judge(w, model))), lambda j: j["confirmed"] & ~F.exists(own, lambda o: o["confirmed"] & (o["family"] == j["family"])))
+
+    def best(js: Column) -> Column:
+        rank = lambda j: F.struct(j["probability"], j["similarity"])
+        return F.array_distinct(F.filter(js, lambda j: ~F.exists(js, lambda o: (o["family"] == j["family"]) & (rank(o) > rank(j)))))
+
+    found = let(let(F.flatten(F.transform(lines, lambda x: x["words"])), judged), best)
+    rows = F.transform(found, lambda j: F.struct(F.lit(0).alias("line"), text.alias("text"), *[j[c].alias(c) for c in FOUND]))
+    return F.when(F.size(F.filter(lines, lambda x: F.size(x["words"]) > 0)) > 1, rows).otherwise(F.slice(own, 1, 0))
+
+
 def scan(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """id, paragraphs: array of (line, text, family, probability, similarity, confirmed) of the lines that were scored."""
-    lines = F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x, i: F.struct(i.alias("line"), x.alias("text"), _words(x).alias("words")))
-    gated = F.filter(lines, lambda s: F.arrays_overlap(s["words"], _strings(model.gates)))
-    judged = F.transform(gated, lambda s: F.struct(s["line"].alias("line"), s["text"].alias("text"), _judge(s["words"], model).alias("j")))
-    return docs.select(F.col(key), judged.alias("found")).select(key, F.transform("found", lambda s: F.struct(s["line"].alias("line"), s["text"].alias("text"), *[s["j"][c].alias(c) for c in ("family", "probability", "similarity", "confirmed")])).alias("paragraphs"))
+    """id, paragraphs: array of (line, text, family, probability, similarity, confirmed): each line that was scored, once
+    for every family it states, and paragraphs that state a family over several lines, at their first line."""
+
+    def piece(p: Column) -> Column:
+        lines = F.transform(F.split(p, "\n"), lambda x, i: F.struct(i.alias("line"), x.alias("text"), _words(x).alias("words")))
+
+        def of(ls: Column) -> Column:
+            gated = F.filter(ls, lambda s: F.arrays_overlap(s["words"], _strings(model.gates)))
+            own = F.flatten(F.transform(gated, lambda s: F.transform(_judge(s["words"], model), lambda j: F.struct(s["line"].alias("line"), s["text"].alias("text"), *[j[c].alias(c) for c in FOUND]))))
+            return let(own, lambda o: F.concat(o, _wrapped(ls, o, p, model)))
+
+        return let(lines, of)
+
+    def numbered(pieces: Column) -> Column:
+        before = lambda k: F.aggregate(F.slice(pieces, 1, k), F.lit(0), lambda n, p: n + F.size(F.split(p, "\n")))
+        return F.flatten(F.transform(pieces, lambda p, k: F.transform(piece(p), lambda s: F.struct((s["line"] + before(k)).alias("line"), *[s[c].alias(c) for c in ("text", *FOUND)]))))
+
+    return docs.select(F.col(key), let(F.split(F.coalesce(F.col(text), F.lit("")), BLANK_LINE), numbered).alias("paragraphs"))
 
 
 def op5_licences(spark, sf_dir: str) -> DataFrame:

@@ -192,6 +192,15 @@ def test_licences(spark, odd, empty):
     assert licences.scan(odd, model).count() == len(ODD) and licences.scan(empty, licences.fit(empty)).count() == 0
 
 
+def test_licences_wrapped_and_several(spark, odd):
+    rows = [(1, "one\n\ntwo\nLicensed under the Apache\nLicense, Version 2.0\nlast"), (2, "Apache License, Version 2.0 or the MIT License"), (3, "Licensed under the Apache\n\nLicense, Version 2.0"), (4, "\n".join("Released under the MIT License".split()))]
+    got = {r.doc_id: sorted((p.family, p.line) for p in r.paragraphs if p.confirmed) for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string"), licences.fit(odd)).collect()}
+    assert {f for f, _ in got[1]} == {"apache"} and got[1][0][1] == 1
+    assert [f for f, _ in got[2]] == ["apache", "mit"]
+    assert got[3] == []
+    assert [f for f, _ in got[4]] == ["mit"]
+
+
 def test_licences_in_documents(spark, docs):
     got = {r.doc_id: r.families.split(",") for r in queries.QUERIES["op5_licences"](spark, FOLDER).collect()}
     for d, t in docs.select("doc_id", "text").collect():
