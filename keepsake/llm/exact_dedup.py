@@ -92,7 +92,11 @@ def dedup(docs: DataFrame, history: DataFrame | None = None, key: str = "doc_id"
     groups = rows.groupBy("digest").agg(F.max("id").alias("own"), F.sum("n").alias("group_size"))
     known = history if history is not None else groups.select("digest", F.col("own").alias("winner"))
     found = lookup(groups, build_index(known, shards), shards)
-    found = found.select("digest", "group_size", "member", F.greatest("own", "winner").alias("keep_id"))
+    if history is None:  # all are members; the group's own maximum only checks the slot's winner
+        keep = F.when(F.col("member") & F.col("own").eqNullSafe(F.col("winner")), F.col("winner")).otherwise(F.raise_error(F.lit("a digest of the corpus isn't in its own index, or has another winner")).cast("bigint"))
+    else:
+        keep = F.when(F.col("member"), F.greatest("own", "winner")).otherwise(F.col("own"))
+    found = found.select("digest", "group_size", "member", keep.alias("keep_id"))
     joined = rows.join(found, "digest")
     return joined.select("id", "keep_id", "group_size", "member", "digest", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("copy")).select(
         F.col("id").alias(key), "keep_id", "group_size", (F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"),

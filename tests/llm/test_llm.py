@@ -224,6 +224,14 @@ def test_dedup_history(spark):
     assert got == {1: (9, False, True), 2: (3, False, False), 3: (3, True, False), 20: (20, True, True)}
 
 
+def test_dedup_fails_with_its_lookup(odd, monkeypatch):
+    lookup = exact_dedup.lookup
+    for lost in ({"member": F.lit(False), "winner": F.lit(None).cast("long")}, {"winner": F.lit(-1).cast("long")}):
+        monkeypatch.setattr(exact_dedup, "lookup", lambda *a, lost=lost: lookup(*a).withColumns(lost))
+        with pytest.raises(Exception, match="isn't in its own index"):
+            exact_dedup.dedup(odd).collect()
+
+
 # 7 and 9: tokens
 
 
