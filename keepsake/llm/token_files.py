@@ -1,15 +1,17 @@
 """Token-id files (7): raw ids in shards, with a minimal perfect hash from document keys to places.
 
 Documents are dealt to shards by ranges of their key and sorted by it, so shard after shard the ids stand
-in ascending key order. A task encodes its documents and streams the ids to ``NNNNNN.bin`` (little-endian,
+in ascending key order. Rows that repeat a key are told apart by a hash of their text and by where they were
+read, so a key of any number of rows, null too, is spread over as many shards as its rows need. A task encodes its documents and streams the ids to ``NNNNNN.bin`` (little-endian,
 16 bits each if the vocabulary fits, else 32) while ``NNNNNN.idx`` gets, by slot of a minimal perfect hash of
 the shard's keys, a 64-bit fingerprint, the place of the key's first id, its number of ids and of rows;
 then the keys and lengths in file order. Both are written under a name of the attempt and renamed, so a task
 that runs again replaces its files with equal ones. The manifest, one Parquet row per shard, names the files.
 
 Defined results: a null text counts as empty and has the end id alone; a null key sorts first and has its
-own slot; rows that repeat a key stand together, ordered by text, and its slot spans them; an empty table
-gives an empty manifest; other columns are not read.
+own slot; rows that repeat a key stand together, ordered by a hash of the text, and the slot of each shard that
+has some spans them; a text with a special token's string has that token's id, as the library gives it; an empty
+table gives an empty manifest; other columns are not read.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ from . import mph
 from .shared import fresh_path, table
 from .tokens import ByteWords, encoder, public_path
 
+#: Bytes of a generation of a worker's table of words. Encoding is all that this operator's workers do.
+TABLE = 112 << 20
 #: Ids in memory at most, beside one document's, before they go to the file or come from it.
 BLOCK = 1 << 21
 #: The key that stands for null in an index; a real key of this value has the flag 0 in its second word.
@@ -112,7 +116,7 @@ def write(docs: DataFrame, url: str, tokenizer: str, end_id: int = 0, key: str =
     """Writes the shards and the manifest (shard int, docs long, ids long, width int)."""
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(ByteWords, tokenizer)
+        encode = encoder(ByteWords, tokenizer, TABLE)
         width = 2 if encode.tokenizer.get_vocab_size() <= 65536 and end_id < 65536 else 4
         task = TaskContext.get()
         files, folder = _open(url)
@@ -142,7 +146,9 @@ def write(docs: DataFrame, url: str, tokenizer: str, end_id: int = 0, key: str =
             files.move(f"{mine}.{x}", f"{final}.{x}")
         yield pa.RecordBatch.from_pydict({"shard": pa.array([task.partitionId()], pa.int32()), "docs": [len(made)], "ids": [int(made["ids"].sum())], "width": pa.array([width], pa.int32())})
 
-    dealt = docs.select(F.col(key).cast("long"), F.col(text)).repartitionByRange(F.col(key)).sortWithinPartitions(key, text)
+    order = ("_key", "_print", "_row")
+    rows = docs.select(F.col(key).cast("long").alias("_key"), F.col(text).alias("_text"), F.xxhash64(text).alias("_print"), F.monotonically_increasing_id().alias("_row"))
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("_key", "_text")
     dealt.mapInArrow(shard, "shard int, docs long, ids long, width int").write.parquet(f"{url}/manifest")
 
 

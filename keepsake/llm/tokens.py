@@ -3,8 +3,9 @@
 Both tokenizers cut a text into pieces before they merge anything, and no piece reaches across a border
 between a non-blank and a blank. So the ids of a text are the ids of its blank-separated words in a row,
 and a worker that remembers the ids of words as bytes only encodes new words. Within a word, letters and
-the signs behind them are pieces of their own, and pieces are remembered too. Texts in which blanks stand
-together, or which hold characters that libraries class differently, go to the tokenizer whole.
+the signs behind them are pieces of their own, and pieces are remembered too. Texts in which
+blanks stand together, or which hold a special token's string or characters that libraries class differently,
+go to the tokenizer whole.
 """
 
 from __future__ import annotations
@@ -16,9 +17,11 @@ from functools import cache
 
 import numpy as np
 
-#: Entries of a generation of each of a worker's two tables. A full one becomes the old generation, whose
-#: entries move to the new one as they are met again.
-TABLE = 150_000
+#: Bytes of a generation of a worker's table of words; its table of pieces has half as many. A full generation
+#: becomes the old one, whose entries move to the new one as they are met again.
+TABLE = 32 << 20
+#: Bytes that an entry takes beside its ids and the characters of its word; the longest word that is remembered.
+ENTRY, LONGEST = 180, 64
 #: Characters that Python counts as blanks and the tokenizers don't.
 ODD = re.compile("[\x1c-\x1f]")
 #: What a word of a byte-level text must not hold, if it is to stand between single spaces or line ends.
@@ -32,9 +35,7 @@ def load(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    out = Tokenizer.from_file(path)
-    out.encode_special_tokens = True  # their strings in a text are ordinary text
-    return out
+    return Tokenizer.from_file(path)
 
 
 def public_path(name: str) -> str:
@@ -56,14 +57,19 @@ class _Odd(Exception):
 
 
 class Encoder(dict):
-    """Calling it gives a text's ids as little-endian unsigned 32-bit integers, without special tokens.
-    As a dict it maps words to ids."""
+    """Calling it gives a text's ids as little-endian unsigned 32-bit integers, as the library gives them without
+    added special tokens. As a dict it maps words to ids. Texts that hold the string of a special token, which the
+    library turns into that token, go to the tokenizer whole."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, table: int = TABLE):
         super().__init__()
-        self.tokenizer, self.signs = load(path), _byte_signs()
-        self.old, self.parts, self.old_parts = {}, {}, {}
+        self.tokenizer, self.shown = load(path), _byte_signs()
+        self.space = self.shown[32]
         self.model = self.tokenizer.model
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.left, self.old = table, {}
+        self.parts, self.parts_left, self.old_parts = {}, table // 2, {}
+        self.table = table
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
@@ -74,12 +80,13 @@ class Encoder(dict):
         if found is None:
             found = self.old_parts.get(text)
             if found is None:
-                signs = self.signs
-                shown = text.replace(" ", signs[32]) if text.isascii() and text != "\n" else "".join([signs[b] for b in text.encode()])
+                shown = text.replace(" ", self.space) if text.isascii() and text != "\n" else text.encode().decode("latin-1").translate(self.shown)
                 found = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
-            if len(self.parts) >= TABLE:
-                self.old_parts, self.parts = self.parts, {}
-            self.parts[text] = found
+            if len(text) <= LONGEST:
+                self.parts_left -= len(text) + len(found) + ENTRY
+                if self.parts_left < 0:
+                    self.old_parts, self.parts, self.parts_left = self.parts, {}, self.table // 2
+                self.parts[text] = found
         return found
 
     def word(self, word: str) -> bytes:
@@ -89,20 +96,33 @@ class Encoder(dict):
         found = self.old.get(word)
         if found is None:
             found = self.word(word)
-        if len(self) >= TABLE:
-            self.old = dict(self)
-            self.clear()
-        self[word] = found
+        if len(word) <= LONGEST:
+            self.left -= len(word) + len(found) + ENTRY
+            if self.left < 0:
+                self.old, self.left = dict(self), self.table
+                self.clear()
+            self[word] = found
         return found
 
     def joined(self, words: list[str]) -> bytes:
         return b"".join(map(self.__getitem__, words))
 
+    def by_words(self, text: str) -> bytes:
+        raise NotImplementedError
+
+    def __call__(self, text: str | None) -> bytes:
+        if not text:
+            return b""
+        for s in self.special:
+            if s in text:
+                return self.whole(text)
+        return self.by_words(text)
+
 
 @cache
-def encoder(kind: type[Encoder], path: str) -> Encoder:
+def encoder(kind: type[Encoder], path: str, table: int = TABLE) -> Encoder:
     """The worker's own: its tables outlive a task."""
-    return kind(path)
+    return kind(path, table)
 
 
 class LowerWords(Encoder):
@@ -114,9 +134,7 @@ class LowerWords(Encoder):
             return self.whole(word)
         return self.piece(m[1].lower()) + (self.piece(m[2]) if m[2] else b"")
 
-    def __call__(self, text: str | None) -> bytes:
-        if not text:
-            return b""
+    def by_words(self, text: str) -> bytes:
         return self.whole(text) if ODD.search(text) else self.joined(text.split())
 
 
@@ -137,9 +155,7 @@ class ByteWords(Encoder):
         ids = self.piece(space + m[1]) + (self.piece(m[2]) if m[2] else b"") if m else self.whole(space + bare)
         return self.piece("\n") + ids if lead == "\n" else ids
 
-    def __call__(self, text: str | None) -> bytes:
-        if not text:
-            return b""
+    def by_words(self, text: str) -> bytes:
         try:
             return self.joined(("\0" + text.replace("\n", " \n")).split(" "))
         except _Odd:
