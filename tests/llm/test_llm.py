@@ -225,12 +225,27 @@ def test_dedup_history(spark):
     assert got == {1: (9, False, True), 2: (3, False, False), 3: (3, True, False), 20: (20, True, True)}
 
 
-def test_dedup_fails_with_its_lookup(odd, monkeypatch):
+def test_dedup_takes_winners_from_the_slots(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"t{i % 5}") for i in range(40)] + [(100, "alone"), (-3, "first")], "doc_id long, text string")
+    got = {r.doc_id: (r.keep_id, r.kept, r.group_size, r.in_history) for r in exact_dedup.dedup(docs).collect()}
+    want = {i: (35 + i % 5, i >= 35, 8) for i in range(40)} | {100: (100, True, 1), -3: (-3, True, 1)}
+    assert {k: v[:3] for k, v in got.items()} == want
+    assert {v[3] for v in got.values()} == {True, False}  # members and nonmembers
     lookup = exact_dedup.lookup
-    for lost in ({"member": F.lit(False), "winner": F.lit(None).cast("long")}, {"winner": F.lit(-1).cast("long")}):
-        monkeypatch.setattr(exact_dedup, "lookup", lambda *a, lost=lost: lookup(*a).withColumns(lost))
-        with pytest.raises(Exception, match="isn't in its own index"):
-            exact_dedup.dedup(odd).collect()
+    monkeypatch.setattr(exact_dedup, "lookup", lambda *a: lookup(*a).withColumns({"member": F.lit(False), "winner": F.lit(None).cast("long")}))
+    assert {r.doc_id: r.keep_id for r in exact_dedup.dedup(docs).collect()} != {k: v[0] for k, v in want.items()}
+
+
+def test_dedup_large_ids_beside_null_ones(spark):
+    big = 2**60
+    rows = [(None, "a"), (None, "b"), (big + 1, "a"), (big + 3, "a"), (big + 5, "c"), (big + 7, "c"), (None, "d"), (None, "d"), (big + 9, None), (big + 11, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    winners = {"a": big + 3, "b": None, "c": big + 7, "d": None, "": big + 11}
+    for history in (None, exact_dedup.history_of(docs), exact_dedup.history_of(docs.where("text = 'd' OR doc_id IS NULL")), exact_dedup.history_of(docs.where("false"))):
+        got = exact_dedup.dedup(docs, history, shards=1).collect()
+        sha = {hashlib.sha256(t.encode()).hexdigest(): w for t, w in winners.items()}
+        assert len(got) == len(rows) and all(r.keep_id == sha[r.text_sha256] for r in got)
+        assert sum(r.kept for r in got) == 5
 
 
 # 7 and 9: tokens
