@@ -49,8 +49,8 @@ GROUPS, MOST_GROUPS, LEAF, FAN = 64, 4096, 32, 16
 BROADCAST = 500_000
 #: A count that a byte can't hold stands for any number.
 FULL = 1 << 20
-#: Tokens that a task holds before it sums or sends them.
-HELD = 1 << 21
+#: Tokens that a task holds before it sums or sends them; tokens of prefixes in a bucket on average.
+HELD, BUCKET = 1 << 21, 1 << 22
 
 
 def least_overlap(n: int, percent: int) -> int:
@@ -93,19 +93,10 @@ def unpacked_point(data: bytes, width: int) -> np.ndarray:
     return p.reshape(-1, width).sum(axis=0)
 
 
-def size_code(n: int) -> int:
-    """Steps of a tenth."""
-    return min(255, int(np.log(n) / np.log(1.1)))
-
-
-def node_of(digest: bytes) -> int:
-    """A class's number in the link graph."""
-    return int.from_bytes(digest[:8], "little", signed=True)
-
-
-def key_of(digest: bytes, n: int) -> int:
-    """56 bits of the digest and the size code."""
-    return int.from_bytes(digest[:7], "little", signed=True) * 256 + size_code(n)
+def key_of(digest: bytes, bits: int = 64) -> int:
+    """A class's key in the search for candidates. Two classes may have one key: what is joined by keys holds both
+    then, and joins() adds the keys of several classes, so that candidates are never fewer for it."""
+    return int.from_bytes(digest[:8], "little", signed=True) >> 64 - bits
 
 
 def _sum_common(sets: list[np.ndarray], docs: int) -> bytes:
@@ -114,23 +105,25 @@ def _sum_common(sets: list[np.ndarray], docs: int) -> bytes:
     return np.stack([tokens[keep], counts[keep].astype(np.uint64)]).tobytes()
 
 
-def describe(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
-    """Rows (id, print, n, digest, key, node, point) of all rows of docs, and rows (n = -1, common) with sums of frequent tokens."""
+def describe(docs: DataFrame, key: str, text: str, size: int, bits: int) -> DataFrame:
+    """Rows (id, print, n, digest, key, point) of all rows of docs, and rows (n = -1, common) with sums of frequent tokens."""
+
+    kinds = {"id": pa.int64(), "print": pa.int64(), "n": pa.int32(), "digest": pa.binary(), "key": pa.int64(), "point": pa.binary(), "common": pa.binary()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, docs_held, total = [], 0, 0
 
         def summary() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([-1], pa.int32()), pa.array([None], pa.binary()), pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([None], pa.binary()), pa.array([_sum_common(held, docs_held)], pa.binary())], names=names)
+            row = {"n": -1, "common": _sum_common(held, docs_held)}
+            return pa.RecordBatch.from_arrays([pa.array([row.get(c)], t) for c, t in kinds.items()], names=list(kinds))
 
         for b in batches:
-            n, digests, keys, nodes, points = [], [], [], [], []
+            n, digests, keys, points = [], [], [], []
             for s in shingle_sets(b.column(2), size):
                 d = digest_of(s)
                 n.append(len(s))
                 digests.append(d)
-                keys.append(key_of(d, len(s)) if len(s) else None)
-                nodes.append(node_of(d))
+                keys.append(key_of(d, bits) if len(s) else None)
                 points.append(packed_point(s))
                 if len(s):
                     held.append(s)
@@ -139,12 +132,12 @@ def describe(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
                 if total >= HELD:
                     yield summary()
                     held, docs_held, total = [], 0, 0
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int32()), pa.array(digests, pa.binary()), pa.array(keys, pa.int64()), pa.array(nodes, pa.int64()), pa.array(points, pa.binary()), pa.nulls(len(n), pa.binary())], names=names)
+            own = [b.column(0), b.column(1), *(pa.array(x, kinds[c]) for c, x in (("n", n), ("digest", digests), ("key", keys), ("point", points))), pa.nulls(len(n), pa.binary())]
+            yield pa.RecordBatch.from_arrays(own, names=list(kinds))
         if held:
             yield summary()
 
-    names = ["id", "print", "n", "digest", "key", "node", "point", "common"]
-    return _texts(docs, key, text).mapInArrow(run, "id long, print long, n int, digest binary, key long, node long, point binary, common binary")
+    return _texts(docs, key, text).mapInArrow(run, "id long, print long, n int, digest binary, key long, point binary, common binary")
 
 
 def _texts(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -167,10 +160,10 @@ def common_tokens(described: DataFrame) -> np.ndarray:
     return np.sort(found["token"].to_numpy(np.int64).view(np.uint64))
 
 
-def groups(docs: DataFrame, common: np.ndarray, key: str, text: str, size: int, percent: int) -> DataFrame:
-    """(grp, key), distinct: the classes that share a token of their prefixes."""
+def groups(docs: DataFrame, common: np.ndarray, tokens: int, key: str, text: str, size: int, percent: int, bits: int) -> DataFrame:
+    """(grp, key), distinct: the classes that share a token of their prefixes. tokens: of all prefixes, for the number of buckets."""
     spark = docs.sparkSession
-    buckets, shared = partitions(spark), spark.sparkContext.broadcast(common)
+    buckets, shared = max(partitions(spark), -(-tokens // BUCKET)), spark.sparkContext.broadcast(common)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, keys, total = [], [], 0
@@ -188,7 +181,7 @@ def groups(docs: DataFrame, common: np.ndarray, key: str, text: str, size: int,
             for s in shingle_sets(b.column(2), size):
                 if len(s):
                     held.append(prefix(s, shared.value, percent))
-                    keys.append(key_of(digest_of(s), len(s)))
+                    keys.append(key_of(digest_of(s), bits))
                     total += len(held[-1])
                 if total >= HELD:
                     yield packed()
@@ -253,9 +246,10 @@ def candidates(placed: DataFrame, percent: int) -> DataFrame:
         own, held = None, {}
 
         def forest() -> pa.RecordBatch:
-            keys = np.array(list(held), np.int64)
-            packed = list(held.values())
-            root = forest_of(np.array([n for n, _ in packed]), lambda rows, width: np.stack([unpacked_point(packed[i][1], width) for i in rows]), percent)
+            rows = list(held)  # classes of one key stay apart, unless their bounds are the same
+            keys = np.array([key for key, _, _ in rows], np.int64)
+            points_of = lambda at, width: np.stack([unpacked_point(rows[i][2], width) for i in at])
+            root = forest_of(np.array([n for _, n, _ in rows]), points_of, percent)
             moved = root != np.arange(len(root))
             return pa.RecordBatch.from_arrays([pa.array(keys[moved]), pa.array(keys[root[moved]])], names=["u", "v"])
 
@@ -265,7 +259,7 @@ def candidates(placed: DataFrame, percent: int) -> DataFrame:
                     if len(held) > 1:
                         yield forest()
                     own, held = (grp, lo, hi), {}
-                held[key] = (n, point)
+                held[key, n, point] = None
         if len(held) > 1:
             yield forest()
 
@@ -369,59 +363,71 @@ def forest_of(sizes: np.ndarray, points_of, percent: int, sets: list[np.ndarray]
 
 
 def forests(blocks: DataFrame, size: int, percent: int) -> DataFrame:
-    """blocks: comp, lo, hi, whole, digest, text, dealt and sorted by comp, lo, hi. Rows (u, v, whole): v is the root of u."""
+    """blocks: comp, lo, hi, whole, node, digest, text, dealt and sorted by comp, lo, hi. Rows (u, v, whole) of nodes: v is the root of u."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, whole, held = None, True, {}
 
         def forest() -> pa.RecordBatch:
-            digests = list(held)
-            sets = list(held.values())
-            root = forest_of(np.array([len(x) for x in sets]), lambda rows, width: np.stack([point_of(sets[i], width) for i in rows]), percent, sets)
-            moved = [i for i in range(len(digests)) if root[i] != i]
-            return pa.RecordBatch.from_arrays([pa.array([node_of(digests[i]) for i in moved], pa.int64()), pa.array([node_of(digests[root[i]]) for i in moved], pa.int64()), pa.array([whole] * len(moved), pa.bool_())], names=["u", "v", "whole"])
+            nodes, sets = np.array(list(held), np.int64), list(held.values())
+            points_of = lambda at, width: np.stack([point_of(sets[i], width) for i in at])
+            root = forest_of(np.array([len(x) for x in sets]), points_of, percent, sets)
+            moved = root != np.arange(len(root))
+            columns = [pa.array(nodes[moved]), pa.array(nodes[root[moved]]), pa.array([whole] * int(moved.sum()), pa.bool_())]
+            return pa.RecordBatch.from_arrays(columns, names=["u", "v", "whole"])
 
         for b in batches:
-            places = zip(*[b.column(i).to_pylist() for i in range(5)], strict=True)
-            for (comp, lo, hi, is_whole, digest), s in zip(places, shingle_sets(b.column(5), size), strict=True):
+            places = zip(*[b.column(i).to_pylist() for i in range(6)], strict=True)
+            for (comp, lo, hi, is_whole, node, digest), s in zip(places, shingle_sets(b.column(6), size), strict=True):
                 if (comp, lo, hi) != own:
                     if len(held) > 1:
                         yield forest()
                     own, whole, held = (comp, lo, hi), is_whole, {}
                 if digest_of(s) == digest:
-                    held[digest] = s
+                    held[node] = s
         if len(held) > 1:
             yield forest()
 
     return blocks.mapInArrow(run, "u long, v long, whole boolean")
 
 
-def join(docs: DataFrame, percent: int = 80, size: int = SHINGLE, key: str = "doc_id", text: str = "text", chunk: int = CHUNK) -> DataFrame:
-    """One row per row of docs: id, n_shingles, component_id, class_id (the hex digest of the row's set)."""
-    described = stored(describe(docs, key, text, size), "shingle-sets")
+def join(docs: DataFrame, percent: int = 80, size: int = SHINGLE, key: str = "doc_id", text: str = "text", chunk: int = CHUNK, bits: int = 64) -> DataFrame:
+    """One row per row of docs: id, n_shingles, component_id, class_id (the hex digest of the row's set). bits: of a class's key."""
+    described = stored(describe(docs, key, text, size, bits), "shingle-sets")
     rows = described.where("n >= 0")
     one = F.struct(F.col("id").isNull().alias("none"), "id", "print")
-    classes = rows.where("n > 0").groupBy("digest").agg(F.min(one).alias("one"), *[F.first(c).alias(c) for c in ("key", "node", "n", "point")])
-    classes = classes.select("digest", "key", "node", "n", "point", "one.id", "one.print")
+    classes = rows.where("n > 0").groupBy("digest").agg(F.min(one).alias("one"), *[F.first(c).alias(c) for c in ("key", "n", "point")])
+    classes = classes.select("digest", "key", "n", "point", "one.id", "one.print")
 
-    shared = groups(docs, common_tokens(described), key, text, size, percent)
+    tokens = rows.agg(F.sum(F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)).first()[0] or 0
+    shared = groups(docs, common_tokens(described), int(tokens), key, text, size, percent, bits)
     points = dealt(parts(shared.join(classes.select("key", "n", "point"), "key"), "grp", "key", chunk), "grp")
-    found = components(candidates(points, percent))
-    comps = found.select(F.col("node").alias("key"), F.col("label").alias("comp")).union(found.select("label", "label").distinct())
-    placed = stored(parts(classes.select("key", "digest", "id", "print").join(comps, "key"), "comp", "digest", chunk), "blocks")
+    comps = joins(candidates(points, percent), classes)
+    inner = classes.select("key", "digest", "id", "print").join(comps, "key").withColumn("node", F.monotonically_increasing_id())
+    members = stored(inner, "members")  # numbers the classes of blocks, each with a number of its own
+    placed = stored(parts(members.select("digest", "node", "id", "print", "comp"), "comp", "node", chunk), "blocks")
     texts = _texts(docs, key, text)
     few = F.broadcast if placed.count() <= BROADCAST else (lambda df: df)
     moved = texts.join(few(placed), placed["id"].eqNullSafe(texts["id"]) & (placed["print"] == texts["print"]))
-    blocks = dealt(moved.select("comp", "lo", "hi", "whole", "digest", "text"), "comp")
+    blocks = dealt(moved.select("comp", "lo", "hi", "whole", "node", "digest", "text"), "comp")
     links = stored(forests(blocks, size, percent), "links")
 
     labels = links.where("whole").select(F.col("u").alias("node"), F.col("v").alias("label")).union(components(links.where("not whole").select("u", "v")))
-    ids = classes.select("digest", "id", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    ids = members.select("digest", "id", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = ids.groupBy("label").agg(F.min("id").alias("component_id"))
-    by_class = ids.join(least, "label").select("digest", "component_id")
+    linked_ids = ids.join(least, "label").select("digest", "component_id")
+    by_class = classes.select("digest", "id").join(linked_ids, "digest", "left").select("digest", F.when(F.col("component_id").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
     out = rows.join(by_class, "digest", "left")
     return out.select(F.col("id").alias(key), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"), F.lower(F.hex("digest")).alias("class_id"))
 
 
+def joins(found: DataFrame, classes: DataFrame) -> DataFrame:
+    """(key, comp): components of candidates. Keys of several classes are in one each, linked or not."""
+    several = classes.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    linked_keys = components(found)
+    comps = linked_keys.select(F.col("node").alias("key"), F.col("label").alias("comp")).union(linked_keys.select("label", "label").distinct())
+    return comps.union(several.join(comps, "key", "left_anti").select("key", F.col("key").alias("comp")))
+
+
 def op10_ngram_join(spark, sf_dir: str) -> DataFrame:
     return join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")

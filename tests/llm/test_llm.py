@@ -362,8 +362,8 @@ def brute_join(rows, percent=80, size=5):
     return sorted((str(k), len(sets[i]), str(min((x for x in ids[root(i)] if x is not None), default=None))) for i, (k, _) in enumerate(rows))
 
 
-@pytest.mark.parametrize("chunk", [2048, 16])
-def test_join_is_brute_force(spark, chunk):
+@pytest.mark.parametrize("chunk,bits", [(2048, 64), (16, 64), (2048, 6)])  # few bits: many classes have one key
+def test_join_is_brute_force(spark, chunk, bits):
     rng = random.Random(5)
     words, rows = [f"w{i}" for i in range(400)], []
     passage = [rng.choice(words) for _ in range(40)]
@@ -375,7 +375,7 @@ def test_join_is_brute_force(spark, chunk):
                 w[rng.randrange(len(w))] = rng.choice(words)
             rows.append((len(rows) * 7 % 5003, " ".join(w[: max(1, int(len(w) * rng.uniform(0.75, 1)))] if rng.random() < 0.3 else w)))
     rows += [(9001, None), (9002, ""), (9003, " \n"), (None, rows[0][1]), rows[5], rows[5]]
-    got = ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string"), chunk=chunk).collect()
+    got = ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string"), chunk=chunk, bits=bits).collect()
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == brute_join(rows)
 
 
