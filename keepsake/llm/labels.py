@@ -10,14 +10,15 @@ from .shared import is_held_out
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
-    """docs rows with a 0/1 column y: at most `most` labelled rows outside the held-out fold.
+    """(doc_id, the other columns of docs, y): at most `most` labelled rows outside the held-out fold, y 0 or 1.
 
-    Which rows are taken depends on a hash of the id alone. A document with several labels has the
-    largest; null labels and null ids are left out. The sample, and so what is broadcast, is bounded by most.
+    Which rows are taken depends on hashes of the id and the row alone, so a repeated id counts by its rows. A
+    document with several labels has the largest; null labels and null ids are left out.
     """
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~is_held_out("doc_id"))
     taken = known.groupBy("doc_id").agg(F.max(label).alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    return docs.join(F.broadcast(taken), "doc_id")
+    found = docs.join(F.broadcast(taken), "doc_id")
+    return found.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64(*[c for c in docs.columns if c != "doc_id"])).limit(most)
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:

@@ -6,8 +6,9 @@ rules the weight zero. What is left is one Spark expression over the statistics,
 projection: no shuffle, no Python.
 
 Defined results: a null text counts as empty, an empty text has zero statistics and gets the score these
-earn; without labels of both classes every score is the share of good rows, (good + 1) / (rows + 2); an
-empty table gives an empty result; repeated rows score alike; other columns stay out of a score.
+earn; without labels of both classes nothing can be learned: every score is the share of good rows, (good + 1) /
+(rows + 2), and keep() keeps all rows; an empty table gives an empty result; repeated rows score alike; other
+columns, whatever their names, pass through and stay out of a score.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .labels import labelled, lasso_logistic, sigmoid
-from .shared import is_held_out, table
+from .shared import is_held_out, table, unused
 
 #: At most so many labelled rows are learned from.
 SAMPLE = 6000
@@ -63,10 +64,11 @@ class Rule:
     terms: tuple[tuple[str, bool, float], ...]
     weight: float = 0.0
 
-    def column(self) -> Column:
+    def column(self, of: str) -> Column:
+        """of: the struct that holds the statistics."""
         out = F.lit(True)
         for name, above, cut in self.terms:
-            out = out & (F.col(name) > cut if above else F.col(name) <= cut)
+            out = out & (F.col(of)[name] > cut if above else F.col(of)[name] <= cut)
         return out
 
 
@@ -74,11 +76,12 @@ class Rule:
 class Model:
     rules: tuple[Rule, ...]
     intercept: float
+    learned: bool = True  # from labels of both classes
 
-    def column(self) -> Column:
+    def column(self, of: str) -> Column:
         total = F.lit(self.intercept)
         for r in self.rules:
-            total = total + F.when(r.column(), r.weight).otherwise(0.0)
+            total = total + F.when(r.column(of), r.weight).otherwise(0.0)
         return 1 / (1 + F.exp(-total))
 
 
@@ -117,7 +120,7 @@ def train(x: np.ndarray, y: np.ndarray, names: list[str]) -> Model:
     good = float(y.sum())
     if not 0 < good < len(y):
         p = (good + 1) / (len(y) + 2)
-        return Model((), float(np.log(p / (1 - p))))
+        return Model((), float(np.log(p / (1 - p))), False)
     cuts = [np.pad(c := np.unique(np.quantile(x[:, j], np.linspace(0, 1, BINS + 1)[1:-1])), (0, BINS - len(c)), constant_values=np.inf) for j in range(len(names))]
     binned = np.stack([np.searchsorted(c, x[:, j], side="left") for j, c in enumerate(cuts)], axis=1)
     found: set = set()
@@ -134,25 +137,34 @@ def train(x: np.ndarray, y: np.ndarray, names: list[str]) -> Model:
     return Model(tuple(Rule(paths[first[i]], float(w[i])) for i in np.flatnonzero(np.abs(w) > 1e-3)), b)
 
 
-def with_statistics(docs: DataFrame, text: str, names: list[str] | None = None) -> DataFrame:
-    """docs, with the statistics in a row of their own generator, which no optimizer rule repeats for each use."""
-    made = statistics(F.col(text))
-    return docs.select("*", F.inline(F.array(F.struct(*[c.cast("double").alias(f"_q_{k}") for k, c in made.items()]))))
+def with_statistics(docs: DataFrame, text: str, name: str) -> DataFrame:
+    """docs and a struct of its statistics, made by a generator, so that no optimizer rule repeats them for each use."""
+    made = F.struct(*[c.cast("double").alias(k) for k, c in statistics(F.col(text)).items()])
+    return docs.select("*", F.inline(F.array(F.struct(made.alias(name)))))
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = SAMPLE, text: str = "text") -> Model:
-    names = [f"_q_{k}" for k in statistics(F.col(text))]
-    rows = with_statistics(labelled(docs.select("doc_id", text), labels, label, most), text).select("y", *names).toPandas()
+    """Learns from at most `most` labelled rows."""
+    names = list(statistics(F.col(text)))
+    rows = with_statistics(labelled(docs.select("doc_id", F.col(text).alias("text")), labels, label, most), "text", "q").select("y", "q.*").toPandas()
     return train(rows[names].to_numpy(float), rows["y"].to_numpy(float), names)
 
 
-def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs with a column _quality."""
-    scored = with_statistics(docs, text)
-    return scored.select(*docs.columns, model.column().alias("_quality"))
+def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
+    """docs with a column of scores under a name that docs doesn't have."""
+    of = unused(docs, "statistics")
+    return with_statistics(docs, text, of).select(*docs.columns, model.column(of).alias(name))
+
+
+def keep(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs that the model doesn't reject; all of them if it has learned nothing."""
+    if not model.learned:
+        return docs
+    name = unused(docs, "score")
+    return score(docs, model, text, name).where(F.col(name) >= threshold).select(*docs.columns)
 
 
 def op3_quality(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = score(docs, fit(docs, table(spark, sf_dir, "labels")))
-    return out.select("doc_id", is_held_out().alias("held_out"), F.col("_quality").alias("score"), (F.col("_quality") >= THRESHOLD).cast("int").alias("predicted"))
+    return out.select("doc_id", is_held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

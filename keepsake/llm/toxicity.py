@@ -28,7 +28,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard as zstd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .labels import labelled, lasso_logistic, sigmoid
@@ -36,8 +36,12 @@ from .shared import is_held_out, table
 
 #: At most so many labelled rows are learned from.
 SAMPLE = 5000
-#: Letters of a window, least letters of a stem, words in the ordinary dictionary, entries of a worker's tables.
-REACH, STEM, ORDINARY, TABLE = 10, 3, 2000, 2_000_000
+#: Of their texts the driver takes so many bytes, and the text with which they become more.
+SAMPLE_BYTES = 100 << 20
+#: Letters of a window, least letters of a stem, words in the ordinary dictionary.
+REACH, STEM, ORDINARY = 10, 3, 2000
+#: Bytes of each of a worker's two tables, and those that an entry takes beside its letters and further gains.
+TABLE, ENTRY = 96 << 20, 230
 #: A stem is toxic if so many toxic rows have it and its log odds exceed this.
 ROWS, ODDS = 4, 3.0
 THRESHOLD = 0.3
@@ -96,6 +100,7 @@ class Gains:
         self.toxic, self.ordinary = (self._compressor(x) for x in (d.toxic, d.ordinary))
         self.by_run: dict[str, tuple[float, ...]] = {}
         self.by_key: dict[str, tuple[float, ...]] = {}
+        self.runs_left = self.keys_left = TABLE
 
     @staticmethod
     def _compressor(content: bytes):
@@ -109,8 +114,9 @@ class Gains:
     def window(self, key: str) -> tuple[float, ...]:
         found = self.by_key.get(key)
         if found is None:
-            if len(self.by_key) >= TABLE:
-                self.by_key = {}
+            self.keys_left -= ENTRY
+            if self.keys_left < 0:
+                self.by_key, self.keys_left = {}, TABLE
             window = staircase(key)
             self.by_key[key] = found = ((len(self.ordinary.compress(window)) - len(self.toxic.compress(window))) / len(window),)
         return found
@@ -120,8 +126,9 @@ class Gains:
         keys = windows(run)
         found = self.window(keys[0]) if len(keys) == 1 else tuple(g for k in keys for g in self.window(k)) or (0.0,)
         if len(run) <= SHORT:
-            if len(self.by_run) >= TABLE:
-                self.by_run = {}
+            self.runs_left -= ENTRY + 40 * len(found)
+            if self.runs_left < 0:
+                self.by_run, self.runs_left = {}, TABLE
             self.by_run[run] = found
         return found
 
@@ -142,7 +149,11 @@ class Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = SAMPLE, text: str = "text") -> Model:
-    rows = labelled(docs.select("doc_id", F.col(text).alias("text")), labels, label, most).select("doc_id", "text", "y").toPandas().sort_values(["doc_id"], kind="stable")
+    """Learns from at most `most` labelled rows, and of those from the first of a hash's order that hold at most SAMPLE_BYTES."""
+    rows = labelled(docs.select("doc_id", F.col(text).alias("text")), labels, label, most)
+    before = F.sum(F.octet_length("text")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") <= SAMPLE_BYTES)
+    rows = rows.select("doc_id", "text", "y").toPandas().sort_values(["doc_id", "text"], kind="stable")
     y, texts = rows["y"].to_numpy(float), rows["text"].tolist()
     if not 0 < y.sum() < len(y):
         p = (y.sum() + 1) / (len(y) + 2)

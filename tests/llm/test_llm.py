@@ -3,6 +3,8 @@
 import hashlib
 import random
 import re
+import unicodedata
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -12,6 +14,7 @@ from oracle import check, connect
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from keepsake.llm import labels as labels_of
 from keepsake.llm import components, decontaminate, exact_dedup, licences, mph, ngram_join, packing, pii, quality, queries, shingles, token_files, tokens, toxicity, url_filter
 
 FOLDER = "/root/testdata/sf0.001"
@@ -122,13 +125,72 @@ def test_held_out_accuracy(spark, name, label):
 
 def test_classifiers_odd(spark, odd, empty, labels):
     none = labels.where("false")
-    for fit, score in ((quality.fit, lambda d, m: quality.score(d, m).select("doc_id", F.col("_quality").alias("score"))), (toxicity.fit, toxicity.score)):
+    for fit, score in ((quality.fit, lambda d, m: quality.score(d.drop("score"), m)), (toxicity.fit, toxicity.score)):
         for d in (odd, empty):
             for l in (labels, none):
                 rows = score(d, fit(d, l)).collect()
                 assert len(rows) == d.count() and all(0 <= r.score <= 1 for r in rows)
 
 
+def test_quality_is_its_rules(spark, docs, labels):
+    """Every score against statistics and rules evaluated in Python."""
+    model = quality.fit(docs, labels)
+
+    def statistics(t):
+        t = t or ""
+        words, lines = re.split(r"[ \t\n\x0b\f\r]+", t), t.split("\n")
+        n, chars = len(words), max(len(t), 1)
+        count = lambda f: sum(map(f, t)) / chars
+        kind = lambda c: unicodedata.category(c)
+        blank = " \t\n\x0b\f\r"
+        return {
+            "chars": len(t), "word_length": chars / n, "upper": count(lambda c: kind(c) == "Lu"), "signs": count(lambda c: not (kind(c)[0] in "LN" or c in blank + ".,")),
+            "digits": count(lambda c: c in "0123456789"), "marks": len(re.findall(r"[*#$%&!]{2}", t)) / n, "bars": t.count("|") / n, "stops": len(re.findall(r"[.?!](?=[ \t\n\x0b\f\r]|$)", t)) / n,
+            "twice": len(re.findall(r"(?<![^ \t\n\x0b\f\r])([^ \t\n\x0b\f\r]+) (?=\1(?:[ \t\n\x0b\f\r]|$))", t)) / n, "distinct_words": len(set(words)) / n, "distinct_lines": len(set(lines)) / len(lines), "line_words": n / len(lines),
+        }
+
+    text = dict(docs.select("doc_id", "text").collect())
+    worst = []
+    for r in quality.score(docs, model).select("doc_id", "score").collect():
+        x = statistics(text[r.doc_id])
+        total = model.intercept + sum(w.weight for w in model.rules if all(x[name] > cut if above else x[name] <= cut for name, above, cut in w.terms))
+        worst.append(abs(r.score - 1 / (1 + np.exp(-total))))
+    assert sum(w > 1e-9 for w in worst) <= 0.01 * len(worst), sorted(worst)[-5:]  # a cut may fall on a rounding
+
+
+def test_quality_keeps_all_without_labels(spark, odd, labels):
+    names = odd.withColumnsRenamed({"score": "statistics", "n": "score_"}).withColumn("Score", F.lit(1))
+    kept = quality.keep(names, quality.fit(names, labels.where("false")))
+    assert kept.columns == names.columns and kept.count() == len(ODD)
+    assert quality.keep(names, quality.fit(names, labels)).columns == names.columns
+    assert quality.score(names, quality.fit(names, labels), name="new").columns == [*names.columns, "new"]
+
+
+def test_labelled_rows_are_bounded(spark):
+    docs = spark.range(3000).select(F.when(F.col("id") < 2000, 1).otherwise(F.col("id")).alias("doc_id"), F.concat(F.lit("t"), "id").alias("text"))
+    marks = docs.select("doc_id", (F.col("doc_id") % 2).alias("toxic"))
+    assert not zlib.crc32(b"1") % 4 == 2  # the hot id may be learned from
+    for most in (1, 700):
+        got = [tuple(r) for r in labels_of.labelled(docs, marks, "toxic", most).select("doc_id", "text", "y").collect()]
+        assert len(got) == most and sorted(got) == sorted(tuple(r) for r in labels_of.labelled(docs.repartition(5), marks, "toxic", most).select("doc_id", "text", "y").collect())
+
+
+def test_toxicity_is_its_gains(spark, docs, labels):
+    """Every score against compressed lengths taken window by window, without tables."""
+    model = toxicity.fit(docs, labels)
+    make = lambda: (toxicity.Gains._compressor(model.dictionaries.toxic), toxicity.Gains._compressor(model.dictionaries.ordinary))
+    toxic, ordinary = make()
+    text = dict(docs.select("doc_id", "text").collect())
+    for r in toxicity.score(docs, model).collect():
+        gains = []
+        for run in (text[r.doc_id] or "").split():
+            windows = [toxicity.staircase(k) for k in toxicity.windows(run)]
+            gains += [(len(ordinary.compress(w)) - len(toxic.compress(w))) / len(w) for w in windows] or [0.0]
+        high = sorted((g for g in gains if g > 0.1), reverse=True)
+        x = [high[0], sum(high[:3]) / 3, sum(g - 0.1 for g in high) / len(gains), sum(g - 0.2 for g in high if g > 0.2) / len(gains) ** 0.5, sum(g > 0.3 for g in high) / len(gains)] if high else [0.0] * 5
+        assert abs(r.score - 1 / (1 + np.exp(-(np.dot(x, model.weights) + model.intercept)))) < 1e-9
+
+
 def test_toxicity_reads_whole_runs():
     mild = [f"the {w} day was calm and {w} again" for w in ("quiet", "sunny", "plain", "early", "late")] * 4
     model = toxicity.train(mild + [f"you {w} idiot go" for w in ("silly", "daft", "odd", "dull", "rude")] * 4, np.array([0] * 20 + [1] * 20))
