@@ -376,24 +376,52 @@ def test_token_files_spread_a_hot_key(spark, tmp_path):
     assert sum(len(h) for h in held if h is not None) == keys.count(7) * got[0].n_tokens
 
 
-def test_packing(spark, odd, empty):
+def test_packing(spark, odd, empty, docs):
+    """Pieces, starts, ids and places against the tokenizer and against one naive best fit over all."""
     path = tokens.public_path("word_bpe_49k.json")
-    rows = packing.pack(odd, path, length=64).collect()
-    by = defaultdict(list)
-    for r in rows:
-        assert r.length <= 64 and len(r.ids) == 4 * r.length
-        by[r.sequence_id].append((r.offset, r.length))
-    for held in by.values():
-        at = 0
-        for offset, n in sorted(held):
-            assert offset == at
-            at += n
-        assert at <= 64
-    assert sum(r.piece == 0 for r in rows) == len(ODD)
-    assert all(r.length == 64 for r in rows if r.doc_id == 6 and r.start + r.length < 30001)
+    own = Tokenizer.from_file(path)
+    for frame, length in ((odd, 64), (docs.repartition(8), 256)):
+        rows, by, pieces = packing.pack(frame, path, length=length).collect(), defaultdict(list), defaultdict(list)
+        for r in rows:
+            by[r.sequence_id].append((r.offset, r.length))
+            pieces[r.doc_id].append((r.piece, r.start, r.length, r.ids))
+        for held in by.values():
+            at = 0
+            for offset, n in sorted(held):
+                assert offset == at
+                at += n
+            assert at <= length
+        want, sizes = defaultdict(list), []
+        for k, t in frame.select("doc_id", "text").collect():
+            ids = [*own.encode(t or "", add_special_tokens=False).ids, 0]
+            for i, at in enumerate(range(0, len(ids), length)):
+                cut = ids[at : at + length]
+                want[k].append((i, at, len(cut), np.array(cut, "<u4").tobytes()))
+                sizes.append(len(cut))
+        assert {k: sorted(v) for k, v in pieces.items()} == {k: sorted(v) for k, v in want.items()}
+        free = []
+        for n in sizes:  # the naive best fit keeps every bin open
+            best = min((i for i, f in enumerate(free) if f >= n), key=lambda i: free[i], default=None)
+            if best is None:
+                free.append(length - n)
+            else:
+                free[best] -= n
+        assert len(by) <= 1.02 * len(free) + 1
+    digest = packing.digest(packing.pack(docs, path)).collect()
+    assert {(r.doc_id, r.start): r.ids_crc32 for r in digest} == {(r.doc_id, r.start): zlib.crc32(r.ids) for r in packing.pack(docs, path).collect()}
     assert packing.pack(empty, path).count() == 0
 
 
+def test_packing_hardly_depends_on_tasks(spark):
+    rng = random.Random(4)
+    rows = [(i, " ".join(["a"] * rng.randint(1, 600))) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    path = tokens.public_path("word_bpe_49k.json")
+    made = [packing.pack(docs.repartition(n), path).select("sequence_id").distinct().count() for n in (1, 100)]
+    least = -(-sum(len(t.split()) + 1 for _, t in rows) // 2048)
+    assert made[0] <= 1.01 * least and made[1] <= 1.04 * least, (made, least)  # thirty documents a task: four sequences
+
+
 def test_packer_fits_best_and_closes_the_fullest():
     p = packing.Packer(10, 2)
     assert [p.place(n) for n in (6, 3, 4, 7, 5)] == [(0, 0), (0, 6), (1, 0), (2, 0), (1, 4)]
