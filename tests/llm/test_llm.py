@@ -546,3 +546,40 @@ def test_pipeline(spark):
             items = [tuple(r) for r in spark.read.parquet(f"{BIG}/benchmark.parquet").select("item_id", "text").collect()]
             assert kept == before - {d for d, _ in brute_contained([(d, text[d]) for d in before], items)}
         docs = out
+
+
+def test_pipeline_odd(spark, empty, tmp_path):
+    """Nulls everywhere, empty and long texts, ties, repeated rows, an empty table, and extra columns that stages use."""
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars int, digest string, n int, id long, text_ string, statistics int, score double, _text string"
+    rest = ("x", 1, 2, "t", 3, 0.5, "own")
+    rows = [(i, f"a plain sentence number {i} with words of its own, like {i * 17} and {i * 31} here.", "en", "s", 10, *rest) for i in range(20)]
+    near = "a long plain text of which a copy differs in one word only and which goes on for long enough to count as near"
+    rows += [(30, near, "en", "s", 1, *rest), (31, near + " indeed", "en", "s", 1, *rest), (31, near + " indeed", "en", "s", 1, *rest)]
+    rows += [(None, "a text of no id at all that says this", None, None, None, *rest), (None, "a text of no id at all that says this", None, None, None, *rest), (None, None, None, None, None, *[None] * 7)]
+    rows += [(40, None, None, None, None, *rest), (41, "", None, None, None, *rest), (42, "", None, None, None, *rest), (43, " \n", None, None, None, *rest), (44, "word " * 30000, None, None, None, *rest), (45, rows[3][1], "en", "s", 1, *rest), (5, rows[5][1], "fr", "other", 1, *rest)]
+    benchmark = [(1, rows[7][1]), (2, None), (3, ""), (None, rows[8][1])]
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    for name, frame, items in (("a", rows, benchmark), ("b", [], benchmark), ("c", rows, [])):
+        folder = str(tmp_path / name)
+        spark.createDataFrame(frame, schema).write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+        none.write.parquet(f"{folder}/labels.parquet")
+        docs, kept = spark.read.parquet(f"{folder}/documents.parquet"), []
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            docs = stage(spark, docs, folder).cache()
+            assert docs.columns == spark.createDataFrame([], schema).columns
+            assert all(r._text == "own" or r.doc_id is None for r in docs.collect())
+            kept.append(sorted((str(r.doc_id), r.text or "") for r in docs.collect()))
+        if not frame:
+            assert kept == [[]] * 4 and corpus_pipeline.run(spark, folder).count() == 0
+            continue
+        every = [(str(r[0]), r[1] or "") for r in rows]
+        assert kept[0] == sorted(every)
+        copies = [*[(str(i), rows[i][1]) for i in range(20) if i != 3], ("30", near), ("31", near + " indeed"), ("None", rows[23][1]), ("42", ""), ("43", " \n"), ("44", "word " * 30000), ("45", rows[3][1])]
+        assert kept[1] == sorted(copies)
+        assert kept[2] == sorted(c for c in copies if c[0] != "31")
+        assert kept[3] == sorted(c for c in copies if c[0] not in (("31", "7", "8") if items else ("31",)))
+        got = corpus_pipeline.run(spark, folder)
+        assert {str(r.doc_id) for r in got.collect()} == {c[0] for c in kept[3]}
