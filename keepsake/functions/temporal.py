@@ -40,7 +40,8 @@ def _days(now: Column, n: Column) -> Column:
 def parse_temporal(question: Column, now: Column) -> Column:
     """(mode, start, end): none, now, interval, before_latest or whole_chain; end inclusive. now: timestamp_ntz.
 
-    A month without a year is the last one at or before now; a name of up to three letters must be capitalised.
+    Days ago mean that moment a day either way, weeks ago three days either way. A month without a year is the
+    last one at or before now; a name of up to three letters must be capitalised.
     """
     q = F.btrim(question)
 
@@ -49,12 +50,12 @@ def parse_temporal(question: Column, now: Column) -> Column:
         return F.struct(F.lit(mode).alias("mode"), (none if start is None else start).alias("start"), (none if end is None else end).alias("end"))
 
     said = F.lower(F.regexp_extract(q, AGO, 1))
-    n = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in NUMBERS.items() for x in kv]), said), F.expr("try_cast(null as int)"), said.try_cast("int"))
+    n = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in NUMBERS.items() for x in kv]), said), said.try_cast("int"))
     unit = F.lower(F.regexp_extract(q, AGO, 2))
     today = now.cast("date")
     back = F.add_months(today, -n)
     ago = (
-        F.when(unit == "day", struct("interval", _ntz(_days(now, n).cast("date")), _day_end(_days(now, n).cast("date"))))
+        F.when(unit == "day", struct("interval", _days(now, n + 1), _days(now, n - 1)))
         .when(unit == "week", struct("interval", _days(now, n * 7 + 3), _days(now, n * 7 - 3)))
         .when(unit == "month", struct("interval", *month_interval(back)))
         .otherwise(struct("interval", *year_interval(F.year(today) - n)))
@@ -69,8 +70,7 @@ def parse_temporal(question: Column, now: Column) -> Column:
     number = F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(F.substring(name, 1, 3))).cast("int")
     year = F.coalesce(said_year.try_cast("int"), F.when(number <= F.month(today), F.year(today)).otherwise(F.year(today) - 1))
     day = F.make_date(year, F.greatest(number, F.lit(1)), F.lit(1))
-    date = F.expr("try_cast(null as date)")
-    date = F.coalesce(date, F.try_to_date(F.concat_ws("-", *[F.regexp_extract(q, DATE, k) for k in (1, 2, 3)]), "y-M-d"))
+    date = F.try_to_date(F.concat_ws("-", *[F.regexp_extract(q, DATE, k) for k in (1, 2, 3)]), "y-M-d")
     return (
         F.when(q.rlike(CHANGE), struct("whole_chain"))
         .when(date.isNotNull(), struct("interval", _ntz(date), _day_end(date)))

@@ -5,7 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..schemas import NOT_ENTITIES, QUESTION_WORDS, STOP_WORDS
+from ..schemas import ENTAILMENT_STOP_WORDS, NOT_ENTITIES, QUESTION_WORDS
+
+
+# Where a sentence ends, what begins a name, capitalised phrases, and ids that an answer cites.
+SENTENCE_END = "(?<=[.!?])\\s+(?=[A-Z\"'(])"
+DETERMINERS = "^(?:my|the|a|an|our|his|her|their)_"
+PHRASE = "\\b([A-Z][a-zA-Z0-9]+(?:\\s+[A-Z][a-zA-Z0-9]+)*)\\b"
+CITED = "\\[((?:ep|f|fs|raw)_[0-9a-f]{6,})\\]"
 
 
 def strings(values) -> Column:
@@ -25,7 +32,7 @@ def content_hash(turns: Column) -> Column:
 
 def count_tokens(text: Column) -> Column:
     """A quarter of the code points, rounded up; none for an empty text."""
-    return F.when(F.length(text) == 0, 0).otherwise(F.expr("1") * F.greatest(F.lit(1), F.floor((F.length(text) + 3) / 4))).cast("int")
+    return F.when(F.length(text) == 0, 0).otherwise(F.greatest(F.lit(1), F.floor((F.length(text) + 3) / 4))).cast("int")
 
 
 def tokens(text: Column) -> Column:
@@ -34,13 +41,13 @@ def tokens(text: Column) -> Column:
 
 def sentences(text: Column) -> Column:
     """Cut at white space after a full stop and before a capital, a quote or a bracket."""
-    cut = F.split(F.btrim(text), "(?<=[.!?])\\s+(?=[A-Z\"'(])")
+    cut = F.split(F.btrim(text), SENTENCE_END)
     return F.filter(F.transform(cut, F.btrim), lambda s: s != "")
 
 
 def canonical_entity(name: Column) -> Column:
     snake = F.btrim(F.regexp_replace(F.lower(F.btrim(name)), "[^a-z0-9]+", "_"), F.lit("_"))
-    bare = F.btrim(F.regexp_replace(snake, "^(?:my|the|a|an|our|his|her|their)_", ""), F.lit("_"))
+    bare = F.btrim(F.regexp_replace(snake, DETERMINERS, ""), F.lit("_"))
     return F.coalesce(F.nullif(bare, F.lit("")), F.lit("user"))
 
 
@@ -54,7 +61,7 @@ def clean_value(value: Column) -> Column:
 
 def entities(text: Column) -> Column:
     """The first eight distinct capitalised phrases."""
-    found = F.regexp_extract_all(text, F.lit("\\b([A-Z][a-zA-Z0-9]+(?:\\s+[A-Z][a-zA-Z0-9]+)*)\\b"), F.lit(1))
+    found = F.regexp_extract_all(text, F.lit(PHRASE), F.lit(1))
     return F.slice(F.array_distinct(F.filter(found, lambda e: ~e.isin(*NOT_ENTITIES) & (F.length(e) >= 2))), 1, 8)
 
 
@@ -77,7 +84,8 @@ def raw_value(text: Column, speaker: Column, cost: Column) -> Column:
 
 
 def content_words(text: Column) -> Column:
-    return F.array_distinct(F.filter(tokens(text), lambda t: ~t.isin(*STOP_WORDS) & (F.length(t) > 2)))
+    """What an entailment compares; embeddings have a longer list of words to leave out."""
+    return F.array_distinct(F.filter(tokens(text), lambda t: ~t.isin(*ENTAILMENT_STOP_WORDS) & (F.length(t) > 2)))
 
 
 def entailment(premise: Column, hypothesis: Column) -> Column:
@@ -93,7 +101,7 @@ def rewritten(question: Column) -> Column:
 
 
 def citations(answer: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(answer, F.lit("\\[((?:ep|f|fs|raw)_[0-9a-f]{6,})\\]"), F.lit(1)))
+    return F.array_distinct(F.regexp_extract_all(answer, F.lit(CITED), F.lit(1)))
 
 
 def attribute_from_value(value: Column) -> Column:

@@ -31,12 +31,29 @@ ATTRIBUTES = (
     "name", "location", "employer", "occupation", "status", "count", "frequency", "duration", "schedule", "personal_best", "amount", "price", "model",
     "method", "setting", "preference", "favorite", "dislike", "allergy", "health", "goal", "relationship", "date", "contact", "other",
 )
-# Words that carry no content.
-STOP_WORDS = tuple(
-    "a an the and or but if so of to in on at for with by from as is are was were be been being am i me my we our you your he she it its they them this that these those there here "
-    "have has had do does did not no yes just very really also about into over after before while when where what which who whom how why can could would should will shall may might must than then too".split()
-)
+# Words that carry no content for an embedding.
+STOP_WORDS = (
+    "a", "an", "the", "and", "or", "but", "if", "so", "of", "to", "in", "on", "at", "for", "with", "by", "from", "as", "is", "are", "was", "were",
+    "be", "been", "being", "am", "i", "me", "my", "we", "our", "you", "your", "he", "she", "it", "its", "they", "them", "this", "that", "these",
+    "those", "there", "here", "have", "has", "had", "do", "does", "did", "not", "no", "yes", "just", "very", "really", "also", "about", "into",
+    "over", "after", "before", "while", "when", "where", "what", "which", "who", "whom", "how", "why", "can", "could", "would", "should", "will",
+    "shall", "may", "might", "must", "than", "then", "too",
+)
+# Words that carry no content for an entailment.
+ENTAILMENT_STOP_WORDS = (
+    "a", "an", "the", "and", "or", "but", "if", "then", "so", "of", "to", "in", "on", "at", "for", "with", "by", "from", "as", "is", "are", "was",
+    "were", "be", "been", "being", "i", "me", "my", "we", "our", "you", "your", "he", "she", "it", "they", "them", "this", "that", "these", "those",
+    "there", "here", "have", "has", "had", "do", "does", "did", "not", "no", "yes", "just", "very", "really", "also", "about", "into", "over",
+    "after", "before", "while", "when", "where", "what", "which", "who", "whom", "how", "why", "can", "could", "would", "should", "will", "shall",
+    "may", "might", "must",
+)
 # Words dropped when a question is rewritten.
-QUESTION_WORDS = tuple("what which where when how many much did do does is are was were the a an my i me you your of to in on at for about tell remember have has had that this it and or".split())
+QUESTION_WORDS = (
+    "what", "which", "where", "when", "how", "many", "much", "did", "do", "does", "is", "are", "was", "were", "the", "a", "an", "my", "i", "me",
+    "you", "your", "of", "to", "in", "on", "at", "for", "about", "tell", "remember", "have", "has", "had", "that", "this", "it", "and", "or",
+)
 # Capitalised words that aren't entities.
-NOT_ENTITIES = tuple("I The A An My Me We It This That You He She They What How When Where Why Yes No Ok Okay Hi Hello Thanks Thank Please Also And But So If In On At For".split())
+NOT_ENTITIES = (
+    "I", "The", "A", "An", "My", "Me", "We", "It", "This", "That", "You", "He", "She", "They", "What", "How", "When", "Where", "Why", "Yes", "No",
+    "Ok", "Okay", "Hi", "Hello", "Thanks", "Thank", "Please", "Also", "And", "But", "So", "If", "In", "On", "At", "For",
+)
