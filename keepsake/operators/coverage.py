@@ -19,8 +19,8 @@ def similarities(targets: DataFrame, selected: DataFrame) -> DataFrame:
 
 
 def top_two(sims: DataFrame) -> DataFrame:
-    """Best and second-best provider of each target; ties go to the smaller id. The ranks need two rows a target."""
-    rank = F.row_number().over(W.partitionBy("grp", "h").orderBy(F.desc("sim"), "s"))
+    """Best and second-best provider of each target; ties, to nine places, go to the smaller id. The ranks need two rows a target."""
+    rank = F.row_number().over(W.partitionBy("grp", "h").orderBy(F.desc(F.round("sim", 9)), "s"))
     ranked = sims.select("*", rank.alias("r")).where("r <= 2")
     pick = lambda r, c: F.max(F.when(F.col("r") == r, F.col(c)))
     return ranked.groupBy("grp", "h").agg(F.first("w").alias("w"), pick(1, "s").alias("provider"), pick(1, "sim").alias("best"), F.coalesce(pick(2, "sim"), F.lit(0.0)).alias("second"))

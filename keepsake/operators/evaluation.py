@@ -60,9 +60,9 @@ def stratified_split(items: DataFrame, n_dev: int, seed: int = 0) -> DataFrame:
     return items.withColumn("_p", place).join(F.broadcast(parts), "stratum").select("id", "stratum", (F.col("_p") <= F.col("quota")).alias("dev"))
 
 
-def close_names(names: DataFrame, threshold: float = 0.8) -> DataFrame:
+def close_names(names: DataFrame, threshold: float | None = 0.8) -> DataFrame:
     """names: grp, name. (grp, a, b), the pairs a < b of a group of which one begins or ends the other at a '_' or
-    whose sequence ratio reaches the threshold. Lengths alone rule out most ratios, and only the rest reach Python."""
+    whose sequence ratio reaches the threshold; None asks for affixes alone. Lengths alone rule out most ratios, and only the rest reach Python."""
 
     @F.pandas_udf("boolean")
     def alike(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -74,13 +74,15 @@ def close_names(names: DataFrame, threshold: float = 0.8) -> DataFrame:
     affix = F.lit(False)
     for long, short in ((x, y), (y, x)):
         affix = affix | long.startswith(F.concat(short, F.lit("_"))) | long.endswith(F.concat(F.lit("_"), short))
+    if threshold is None:
+        return a.join(b, "grp").where("a < b").where(affix).select("grp", "a", "b")
     low, high = F.least(F.length("a"), F.length("b")), F.greatest(F.length("a"), F.length("b"))
     pairs = a.join(b, "grp").where("a < b").select("grp", "a", "b", affix.alias("affix"), (2.0 * low / (low + high) >= threshold - 1e-9).alias("near"))
     glued = pairs.where("affix").select("grp", "a", "b")
     return glued.union(pairs.where("near AND NOT affix").where(alike("a", "b")).select("grp", "a", "b"))
 
 
-def key_drift(facts: DataFrame, threshold: float = 0.8) -> DataFrame:
+def key_drift(facts: DataFrame, threshold: float | None = 0.8) -> DataFrame:
     """facts: entity, attribute. (kind, entity, a, b): close attribute names of an entity, and close entity names, whose entity is null."""
     attributes = close_names(facts.select(F.col("entity").alias("grp"), F.col("attribute").alias("name")), threshold)
     entities = close_names(facts.select(F.lit(0).alias("grp"), F.col("entity").alias("name")), threshold)

@@ -37,15 +37,9 @@ _HEX = "list_reduce(list_prepend(0::BIGINT, list_transform(range(1, 9), lambda p
 
 
 @query(f"""WITH v AS (SELECT lang AS grp, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS i, quality::DOUBLE AS v FROM labels JOIN documents USING (doc_id)), n AS (SELECT grp, count(*) AS n, avg(v) AS mean FROM v GROUP BY grp),
-d AS (SELECT v.grp, rep, {_HEX} % n AS i FROM v JOIN n USING (grp), range(0, 200) t(rep)), m AS (SELECT d.grp, rep, round(avg(v), 9) AS m FROM d JOIN v ON v.grp = d.grp AND v.i = d.i GROUP BY 1, 2),
-o AS (SELECT grp, m, row_number() OVER (PARTITION BY grp ORDER BY m, rep) - 1 AS k FROM m) SELECT grp, any_value(n) AS n, round(any_value(mean), 6) AS mean, round(max(m) FILTER (k = 5), 6) AS lo, round(max(m) FILTER (k = 195), 6) AS hi FROM o JOIN n USING (grp) GROUP BY grp""")
+d AS (SELECT v.grp, rep, {_HEX} % n AS i FROM v JOIN n USING (grp), range(0, 1000) t(rep)), m AS (SELECT d.grp, rep, round(avg(v), 9) AS m FROM d JOIN v ON v.grp = d.grp AND v.i = d.i GROUP BY 1, 2),
+o AS (SELECT grp, m, row_number() OVER (PARTITION BY grp ORDER BY m, rep) - 1 AS k FROM m) SELECT grp, any_value(n) AS n, round(any_value(mean), 6) AS mean, round(max(m) FILTER (k = 25), 6) AS lo, round(max(m) FILTER (k = 975), 6) AS hi FROM o JOIN n USING (grp) GROUP BY grp""")
 def bootstrap_ci(spark, sf_dir):
-    return evaluation.bootstrap(_quality_by_lang(spark, sf_dir), 200)
-
-
-@query()
-def bootstrap_ci_whole(spark, sf_dir):
-    """With the operator's own 1000 resamples."""
     return evaluation.bootstrap(_quality_by_lang(spark, sf_dir))
 
 
@@ -76,19 +70,31 @@ def resume_pending(spark, sf_dir):
     return missing(read(spark, sf_dir, "documents").select("doc_id", "lang"), read(spark, sf_dir, "labels").select("doc_id"), "doc_id")
 
 
-@query("""SELECT a.lang, a.source AS a, b.source AS b FROM (SELECT DISTINCT lang, source FROM documents) a JOIN (SELECT DISTINCT lang, source FROM documents) b ON a.lang = b.lang AND a.source < b.source AND (starts_with(b.source, a.source) OR ends_with(b.source, a.source))""")
+_NAMES = """w AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9_]+') AS w FROM benchmark),
+f AS (SELECT 'item_' || item_id AS entity, unnest(w) AS attribute FROM w UNION SELECT 'item_' || item_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || '_' || w[i + 1])) FROM w),
+n AS (SELECT 'attribute' AS kind, entity, attribute AS name FROM f UNION SELECT 'entity', NULL, entity FROM f)"""
+
+
+@query(f"""WITH {_NAMES} SELECT x.kind, x.entity, x.name AS a, y.name AS b FROM n x JOIN n y ON x.kind = y.kind AND x.entity IS NOT DISTINCT FROM y.entity AND x.name < y.name
+AND (starts_with(x.name, y.name || '_') OR ends_with(x.name, '_' || y.name) OR starts_with(y.name, x.name || '_') OR ends_with(y.name, '_' || x.name))""")
 def key_drift(spark, sf_dir):
-    """Attribute names of one entity of which one begins or ends the other."""
-    names = read(spark, sf_dir, "documents").select("lang", "source").distinct()
-    a, b = names.withColumnRenamed("source", "a"), names.withColumnRenamed("source", "b")
-    return a.join(b, "lang").where((F.col("a") < F.col("b")) & (F.col("b").startswith(F.col("a")) | F.col("b").endswith(F.col("a")))).select("lang", "a", "b")
+    """Names of which one begins or ends the other at a '_'; key_drift_names has close spellings too."""
+    return evaluation.key_drift(_names(spark, sf_dir), None)
 
 
 @query()
 def key_drift_names(spark, sf_dir):
-    """Close names, whole: the words of each test item as its attributes."""
-    words = read(spark, sf_dir, "benchmark").select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9_]+"), F.lit(0)))).alias("attribute"), F.concat(F.lit("item_"), F.col("item_id").cast("string")).alias("entity"))
-    return evaluation.key_drift(words)
+    """Close names, whole. The sequence ratio has no SQL."""
+    return evaluation.key_drift(_names(spark, sf_dir))
+
+
+def _names(spark, sf_dir):
+    """Each test item as an entity, its words and pairs of neighbours as attributes."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9_]+"), F.lit(0))
+    w = read(spark, sf_dir, "benchmark").select(F.concat(F.lit("item_"), F.col("item_id").cast("string")).alias("entity"), words.alias("w"))
+    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 1, F.lit(1))), lambda i: F.concat_ws("_", F.get("w", i - 1), F.get("w", i)))
+    both = F.when(F.size("w") > 1, F.concat("w", pairs)).otherwise(F.col("w"))
+    return w.select("entity", F.explode(F.array_distinct(both)).alias("attribute"))
 
 
 @query("SELECT doc_id FROM (SELECT doc_id FROM labels WHERE quality = 1 EXCEPT ALL SELECT doc_id FROM labels WHERE toxic = 1)")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.text import count_tokens, entailment, tokens
+from ..functions.text import count_tokens, tokens
 from ..operators import packing, retrieval, selection
 from .registry import query, read
 
@@ -26,14 +26,6 @@ def _asked(spark, sf_dir):
     return read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
-def overlaps(spark, sf_dir):
-    """Shared words of each query and document over the query's words, through the terms they share."""
-    asked = _asked(spark, sf_dir).select("query_id", F.array_distinct(tokens(F.col("text"))).alias("q"))
-    terms = asked.select("query_id", F.size("q").alias("n"), F.explode("q").alias("term"))
-    own = _docs(spark, sf_dir).select("id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    return own.join(terms, "term").groupBy("query_id", "id").agg(F.round(F.count(F.lit(1)) / F.first("n"), 6).alias("cosine"))
-
-
 @query(f"WITH {BM25} SELECT query_id, id, score, rank::INTEGER AS rank FROM bm WHERE rank < 30")
 def bm25_topk(spark, sf_dir):
     return retrieval.bm25(_docs(spark, sf_dir), _asked(spark, sf_dir), 30)
@@ -47,21 +39,28 @@ def bm25_allowed(spark, sf_dir):
 
 
 def _channels(spark, sf_dir):
-    lexical = retrieval.bm25(_docs(spark, sf_dir), _asked(spark, sf_dir), 30)
-    cosines = overlaps(spark, sf_dir)
-    return lexical, retrieval.ranked(cosines, "query_id", F.desc("cosine"), 30), cosines
+    """Two channels of 30 a query: BM25, and the share of the query's words for a cosine."""
+    docs, asked = _docs(spark, sf_dir), _asked(spark, sf_dir)
+    return retrieval.bm25(docs, asked, 30), retrieval.overlap(docs, asked, 30).withColumnRenamed("score", "cosine")
+
+
+def _cosines(spark, sf_dir, found):
+    """query_id, id, cosine of what was found, however it ranks by that."""
+    texts = found.select("query_id", "id").join(_docs(spark, sf_dir), "id").join(_asked(spark, sf_dir).withColumnRenamed("text", "q"), "query_id")
+    words, own = F.array_distinct(tokens(F.col("q"))), F.array_distinct(tokens(F.col("text")))
+    return texts.select("query_id", "id", F.round(F.size(F.array_intersect(words, own)) / F.greatest(F.size(words), F.lit(1)), 6).alias("cosine"))
 
 
 @query(f"WITH {BM25}{LEX} SELECT query_id, id, round(rrf, 9) AS rrf FROM fu")
 def rrf_fusion(spark, sf_dir):
-    a, b, _ = _channels(spark, sf_dir)
+    a, b = _channels(spark, sf_dir)
     return retrieval.fuse(a, b).select("query_id", "id", F.round("rrf", 9).alias("rrf"))
 
 
 @query(f"WITH {BM25}{LEX} SELECT query_id, fu.id, round(0.7 * coalesce(cosine, 0) + 0.3 * rrf / max(rrf) OVER (PARTITION BY query_id), 6) AS rel FROM fu LEFT JOIN ov USING (query_id, id)")
 def relevance_blend(spark, sf_dir):
-    a, b, cosines = _channels(spark, sf_dir)
-    return retrieval.blend(retrieval.fuse(a, b), cosines).select("query_id", "id", F.round("rel", 6).alias("rel"))
+    fused = retrieval.fuse(*_channels(spark, sf_dir))
+    return retrieval.blend(fused, _cosines(spark, sf_dir, fused)).select("query_id", "id", F.round("rel", 6).alias("rel"))
 
 
 @query(f"""WITH {BM25}{LEX}, rl AS (SELECT query_id, fu.id, round(0.7 * coalesce(cosine, 0) + 0.3 * rrf / max(rrf) OVER (PARTITION BY query_id), 6) AS rel FROM fu LEFT JOIN ov USING (query_id, id)),
@@ -115,29 +114,16 @@ def sieve_thresholds(spark, sf_dir):
     return spark.range(1).select(F.explode(selection.thresholds(0.0003, 0.5, 2.0)).alias("t")).select(F.round("t", 9).alias("threshold"))
 
 
-@query("""WITH l AS (SELECT b.item_id, d.doc_id, regexp_extract_all(lower(b.text), '[a-z0-9]+') AS q, string_split(d.text, chr(10)) AS ls FROM benchmark b JOIN documents d ON d.doc_id % 40 = b.item_id),
-x AS (SELECT item_id, doc_id, q, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM l), s AS (SELECT item_id, doc_id, line, i, len(list_intersect(list_distinct(regexp_extract_all(lower(line), '[a-z0-9]+')), list_distinct(q))) AS n FROM x)
-SELECT item_id, doc_id, arg_max(line, (n, -i)) AS line FROM s GROUP BY 1, 2""")
-def best_line(spark, sf_dir):
-    """Of every document, for the item that its id names."""
-    b = read(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("q"))
-    d = read(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 40).alias("item_id"), "text")
-    return d.join(b, "item_id").select("item_id", "doc_id", packing.best_line(F.col("text"), tokens(F.col("q"))).alias("line"))
-
-
 def candidates(spark, sf_dir):
     """query_id, q, id, text: every item with the documents that fusion over all documents finds for it."""
     found = rrf_fusion(spark, sf_dir).select("query_id", "id")
     return found.join(_asked(spark, sf_dir).withColumnRenamed("text", "q"), "query_id").join(_docs(spark, sf_dir), "id")
 
 
-@query()
-def entail_candidates(spark, sf_dir):
-    c = candidates(spark, sf_dir)
-    return c.select(F.col("query_id").alias("item_id"), F.col("id").alias("doc_id"), F.round(entailment(F.col("text"), F.col("q")), 6).alias("support"))
-
-
-@query()
-def best_line_candidates(spark, sf_dir):
+@query(f"""WITH {BM25}{LEX}, l AS (SELECT query_id, fu.id, regexp_extract_all(lower(b.text), '[a-z0-9]+') AS q, string_split(d.text, chr(10)) AS ls FROM fu JOIN documents d ON d.doc_id = fu.id JOIN benchmark b ON b.item_id = fu.query_id),
+x AS (SELECT query_id, id, q, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM l), s AS (SELECT query_id, id, line, i, len(list_intersect(list_distinct(regexp_extract_all(lower(line), '[a-z0-9]+')), list_distinct(q))) AS n FROM x)
+SELECT query_id AS item_id, id AS doc_id, arg_max(line, (n, -i)) AS line FROM s GROUP BY 1, 2""")
+def best_line(spark, sf_dir):
+    """Of the documents that rank fusion finds for each test item."""
     c = candidates(spark, sf_dir)
     return c.select(F.col("query_id").alias("item_id"), F.col("id").alias("doc_id"), packing.best_line(F.col("text"), tokens(F.col("q"))).alias("line"))

@@ -31,7 +31,7 @@ def selected(t):
 
 def _sims(spark, sf_dir):
     t = targets(spark, sf_dir)
-    return coverage.similarities(t, selected(t)).withColumn("sim", F.round("sim", 9))
+    return coverage.similarities(t, selected(t))
 
 
 @query(f"WITH {SIMS} SELECT grp, round(sum(w * best), 6) AS value FROM b GROUP BY grp")

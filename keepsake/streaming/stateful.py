@@ -57,7 +57,11 @@ def select_state(entries: DataFrame, config: Config, dim: int) -> DataFrame:
 
 
 def windows(events: DataFrame, late: str = "1 hour", size: str = "6 hours") -> DataFrame:
-    """Counts by event-time window and type; events later than the watermark are dropped."""
+    """Counts by event-time window and type; events later than the watermark are dropped.
+
+    What drops is the watermark that the batches before have set, and with several stateful operators in a stream
+    each has it one batch later: surely dropped is what comes two batches after the one that made it late.
+    """
     return events.withWatermark("ts", late).groupBy(F.window("ts", size), "event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -78,7 +82,10 @@ def run_hawkes(spark: SparkSession, path: str) -> DataFrame:
     import tempfile
     import uuid
 
-    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp()}/stream-{uuid.uuid4().hex}"
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not shared and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    folder = f"{shared or tempfile.mkdtemp()}/stream-{uuid.uuid4().hex}"
     schema = spark.read.parquet(path).schema
     source, name = path.rsplit("/", 1)
     stream = spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(source) if not _is_folder(spark, path) else spark.readStream.schema(schema).parquet(path)

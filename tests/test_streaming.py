@@ -45,8 +45,8 @@ def test_selection_in_a_stream_is_its_replay(spark, tmp_path):
 
 
 def test_windows_drop_late_events(spark, tmp_path):
-    rows = [(f"2024-01-0{d} 0{h}:30:00", "x", p) for d, h, p in ((1, 1, 0), (1, 2, 0), (3, 1, 1), (1, 3, 2))]
+    rows = [(f"2024-01-0{d} 0{h}:30:00", "x", p) for d, h, p in ((1, 1, 0), (1, 2, 0), (3, 1, 1), (3, 2, 2), (1, 3, 3))]
     df = spark.createDataFrame(rows, "t string, event_type string, part int").select(F.to_timestamp("t").alias("ts"), "event_type", "part")
-    q = stateful.windows(_stream(spark, df, str(tmp_path / "in"), 3)).writeStream.outputMode("append").trigger(availableNow=True).format("memory").queryName("late").option("checkpointLocation", str(tmp_path / "ck")).start()
+    q = stateful.windows(_stream(spark, df, str(tmp_path / "in"), 4)).writeStream.outputMode("append").trigger(availableNow=True).format("memory").queryName("late").option("checkpointLocation", str(tmp_path / "ck")).start()
     q.awaitTermination()
     assert [r.n for r in spark.sql("SELECT n FROM late ORDER BY window").collect()][0] == 2
