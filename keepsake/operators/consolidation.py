@@ -2,23 +2,39 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dot
+from .coverage import by_blocks, matrix
 
 
 def near_pairs(entries: DataFrame, threshold: float) -> DataFrame:
-    """entries: grp, id, vec. Pairs a < b of a group (a window of sessions) from the threshold on."""
+    """entries: grp, id, vec. Pairs a < b of a group (a window of sessions) from the threshold on, block by block."""
+
+    def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        sims = matrix(x["av"]) @ matrix(y["bv"]).T
+        rows, cols = np.nonzero((np.round(sims, 6) >= threshold) & (x["a"].to_numpy()[:, None] < y["b"].to_numpy()[None]))
+        return pd.DataFrame({"grp": x["grp"].to_numpy()[rows], "a": x["a"].to_numpy()[rows], "b": y["b"].to_numpy()[cols], "sim": sims[rows, cols]})
+
     a, b = (entries.select("grp", F.col("id").alias(x), F.col("vec").alias(x + "v")) for x in "ab")
-    return a.join(b, "grp").where("a < b").select("grp", "a", "b", dot(F.col("av"), F.col("bv")).alias("sim")).where(F.round("sim", 6) >= threshold)
+    grp, own = (entries.schema[c].dataType.simpleString() for c in ("grp", "id"))
+    return by_blocks(a, b, "a", "b", run, f"grp {grp}, a {own}, b {own}, sim double")
 
 
 def clusters(entries: DataFrame, pairs: DataFrame) -> DataFrame:
     """(grp, id, cluster): single-link components, named by their least id. Large and small stars alternate until
-    no edge changes; edges are written between rounds where the session has a checkpoint folder."""
+    no edge changes; edges are written between rounds, to the folder
+    that the session names; a local session without one keeps them."""
     spark = entries.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder and not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(folder)
+    if not spark.sparkContext.getCheckpointDir() and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     keep = (lambda d: d.checkpoint()) if spark.sparkContext.getCheckpointDir() else (lambda d: d.persist())
     state = lambda d: tuple(d.agg(F.count(F.lit(1)), F.sum(F.xxhash64("grp", "u", "v").cast("decimal(38,0)"))).first())
     edges = keep(pairs.where("a <> b").select("grp", F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
@@ -39,11 +55,16 @@ def clusters(entries: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def medoids(entries: DataFrame, labels: DataFrame, least: int = 3) -> DataFrame:
-    """The member of each cluster of at least so many with the largest sum of similarities; ties by id."""
+    """The member of each cluster of at least so many with the largest sum of similarities; ties by id.
+
+    A member's sum is its product with the sum of the cluster's vectors, so no pairs are made.
+    """
     m = entries.join(labels, ["grp", "id"])
-    pairs = m.select("grp", "cluster", F.col("id").alias("a"), F.col("vec").alias("av")).join(m.select("grp", "cluster", F.col("id").alias("b"), F.col("vec").alias("bv")), ["grp", "cluster"])
-    sums = pairs.groupBy("grp", "cluster", "a").agg(F.round(F.sum(dot(F.col("av"), F.col("bv"))), 6).alias("total"), F.count(F.lit(1)).alias("size")).where(F.col("size") >= least)
-    return sums.select("*", F.row_number().over(W.partitionBy("grp", "cluster").orderBy(F.desc("total"), "a")).alias("r")).where("r = 1").select("grp", "cluster", F.col("a").alias("medoid"), "size", "total")
+    each = m.select("grp", "cluster", F.posexplode("vec").alias("at", "x")).groupBy("grp", "cluster", "at").agg(F.sum(F.col("x").cast("double")).alias("x"), F.count(F.lit(1)).alias("size"))
+    sums = each.where(F.col("size") >= least).groupBy("grp", "cluster", "size").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda p: p["x"]).alias("sum"))
+    found = m.join(sums, ["grp", "cluster"]).select("grp", "cluster", "id", "size", F.round(dot(F.col("vec"), F.col("sum")), 6).alias("total"))
+    best = found.groupBy("grp", "cluster").agg(F.max_by(F.struct("id", "size", "total"), F.struct("total", -F.col("id"))).alias("m"))
+    return best.select("grp", "cluster", F.col("m.id").alias("medoid"), "m.size", "m.total")
 
 
 def modal_entity(members: DataFrame) -> DataFrame:

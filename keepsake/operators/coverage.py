@@ -1,25 +1,72 @@
 """Facility-location coverage: sum over targets of w * the best similarity to a selected vector, clipped at 0.
 
-Everything is within a group (a memory, a label), so joins are equi joins on the group and the work is the
-sum over groups of targets times selected, as the function itself demands.
+Everything is within a group (a memory, a label). A group's targets and vectors are dealt to blocks of CHUNK,
+every block of the one side meets every block of the other as a product of matrices, and what leaves a pair of
+blocks is two rows a target or one a candidate. A group of any size is so spread over tasks.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.vectors import dot
+#: Vectors of a block.
+CHUNK = 4096
+
+
+def by_blocks(left: DataFrame, right: DataFrame, left_id: str, right_id: str, run: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, chunk: int = CHUNK) -> DataFrame:
+    """run on each pair of blocks of a group; both sides have a column grp. Groups that a side lacks are left out."""
+    count = lambda d, name: d.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias(name))
+    blocks = count(left, "_nl").join(count(right, "_nr"), "grp")
+
+    def dealt(side: DataFrame, key: str, own: str, n: str, other: str, m: str) -> DataFrame:
+        placed = side.join(blocks, "grp").withColumn(own, F.pmod(F.xxhash64(key), F.col(n)).cast("int"))
+        met = placed.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(m) - 1))).drop("_nl", "_nr")
+        return met.select(*[F.col(c).alias(c) for c in met.columns])  # columns of its own, where both sides are one table
+
+    l, r = dealt(left, left_id, "_l", "_nl", "_r", "_nr"), dealt(right, right_id, "_r", "_nr", "_l", "_nl")
+    keys = ("grp", "_l", "_r")
+    names = [x.strip().split(" ")[0] for x in schema.split(",")]
+
+    def pair(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        return run(a, b)[names] if len(a) and len(b) else pd.DataFrame({n: [] for n in names})
+
+    return l.groupBy(*keys).cogroup(r.groupBy(*keys)).applyInPandas(pair, schema)
+
+
+def matrix(vectors: pd.Series) -> np.ndarray:
+    return np.array(vectors.tolist(), np.float64)
 
 
-def similarities(targets: DataFrame, selected: DataFrame) -> DataFrame:
-    """targets: grp, h, hv, w; selected: grp, s, sv. (grp, h, w, s, sim), sim >= 0; equal rows of both sides meet too."""
-    return targets.join(selected, "grp").select("grp", "h", "w", "s", F.greatest(dot(F.col("hv"), F.col("sv")), F.lit(0.0)).alias("sim"))
+def _kind(df: DataFrame, column: str) -> str:
+    return df.schema[column].dataType.simpleString()
+
+
+def similarities(targets: DataFrame, selected: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """targets: grp, h, hv, w; selected: grp, s, sv. (grp, h, w, s, sim), sim >= 0: of each target the two best of each
+    block of selected vectors, ties, to nine places, to the smaller id. All that asks for a best one needs no more."""
+
+    def run(t: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
+        x = x.sort_values("s")
+        sims = np.maximum(matrix(t["hv"]) @ matrix(x["sv"]).T, 0)
+        ranks, out, at = np.round(sims, 9), [], np.arange(len(t))
+        for _ in range(min(2, len(x))):
+            top = ranks.argmax(axis=1)
+            out.append(pd.DataFrame({"grp": t["grp"].to_numpy(), "h": t["h"].to_numpy(), "w": t["w"].to_numpy(), "s": x["s"].to_numpy()[top], "sim": sims[at, top]}))
+            ranks[at, top] = -1
+        return pd.concat(out)
+
+    schema = f"grp {_kind(targets, 'grp')}, h {_kind(targets, 'h')}, w double, s {_kind(selected, 's')}, sim double"
+    return by_blocks(targets.select("grp", "h", "hv", F.col("w").cast("double")), selected.select("grp", "s", "sv"), "h", "s", run, schema, chunk)
 
 
 def top_two(sims: DataFrame) -> DataFrame:
-    """Best and second-best provider of each target; ties, to nine places, go to the smaller id. The ranks need two rows a target."""
+    """Best and second-best provider of each target; ties, to nine places, go to the smaller id."""
     rank = F.row_number().over(W.partitionBy("grp", "h").orderBy(F.desc(F.round("sim", 9)), "s"))
     ranked = sims.select("*", rank.alias("r")).where("r <= 2")
     pick = lambda r, c: F.max(F.when(F.col("r") == r, F.col(c)))
@@ -31,10 +78,18 @@ def value(sims: DataFrame) -> DataFrame:
     return best.groupBy("grp").agg(F.sum(F.col("w") * F.col("best")).alias("value"))
 
 
-def gains(candidates: DataFrame, best: DataFrame, targets: DataFrame) -> DataFrame:
-    """candidates: grp, s, sv. What each would add to the value; best: grp, h, best."""
-    each = similarities(targets, candidates).join(best.select("grp", "h", "best"), ["grp", "h"], "left")
-    return each.groupBy("grp", "s").agg(F.sum(F.col("w") * F.greatest(F.col("sim") - F.coalesce("best", F.lit(0.0)), F.lit(0.0))).alias("gain"))
+def gains(candidates: DataFrame, best: DataFrame | None, targets: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """candidates: grp, s, sv. What each would add to the value; best: grp, h, best, none for an empty store."""
+
+    def run(t: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
+        sims = np.maximum(matrix(t["hv"]) @ matrix(x["sv"]).T, 0)
+        part = t["w"].to_numpy() @ np.maximum(sims - t["best"].to_numpy()[:, None], 0)
+        return pd.DataFrame({"grp": x["grp"].to_numpy(), "s": x["s"].to_numpy(), "part": part})
+
+    known = targets.select("grp", "h", "hv", F.col("w").cast("double"))
+    known = known.withColumn("best", F.lit(0.0)) if best is None else known.join(best.select("grp", "h", "best"), ["grp", "h"], "left").fillna(0.0, ["best"])
+    parts = by_blocks(known, candidates.select("grp", "s", "sv"), "h", "s", run, f"grp {_kind(targets, 'grp')}, s {_kind(candidates, 's')}, part double", chunk)
+    return parts.groupBy("grp", "s").agg(F.sum("part").alias("gain"))
 
 
 def losses(tops: DataFrame) -> DataFrame:
@@ -42,21 +97,26 @@ def losses(tops: DataFrame) -> DataFrame:
     return tops.groupBy("grp", F.col("provider").alias("s")).agg(F.sum(F.col("w") * (F.col("best") - F.col("second"))).alias("loss"))
 
 
-def loss_of_set(sims: DataFrame, gone: DataFrame) -> DataFrame:
+def _best_without(targets: DataFrame, selected: DataFrame, gone: DataFrame) -> DataFrame:
+    """The best similarity of each target to what a set (grp, s) leaves."""
+    rest = selected.join(gone.select("grp", "s"), ["grp", "s"], "left_anti")
+    return similarities(targets, rest).groupBy("grp", "h").agg(F.max("sim").alias("best"))
+
+
+def loss_of_set(targets: DataFrame, selected: DataFrame, gone: DataFrame) -> DataFrame:
     """What the value of each group would lose without a set (grp, s)."""
-    marked = sims.join(gone.select("grp", "s", F.lit(True).alias("gone")), ["grp", "s"], "left")
-    best = marked.groupBy("grp", "h").agg(F.first("w").alias("w"), F.max("sim").alias("best"), F.max(F.when(F.col("gone").isNull(), F.col("sim"))).alias("rest"))
-    return best.groupBy("grp").agg(F.sum(F.col("w") * (F.col("best") - F.coalesce("rest", F.lit(0.0)))).alias("loss"))
+    best = similarities(targets, selected).groupBy("grp", "h").agg(F.first("w").alias("w"), F.max("sim").alias("all"))
+    both = best.join(_best_without(targets, selected, gone), ["grp", "h"], "left")
+    return both.groupBy("grp").agg(F.sum(F.col("w") * (F.col("all") - F.coalesce("best", F.lit(0.0)))).alias("loss"))
 
 
-def gain_without(candidates: DataFrame, sims: DataFrame, targets: DataFrame, gone: DataFrame) -> DataFrame:
+def gain_without(candidates: DataFrame, selected: DataFrame, targets: DataFrame, gone: DataFrame) -> DataFrame:
     """What each candidate would add once a set is gone."""
-    rest = sims.join(gone, ["grp", "s"], "left_anti").groupBy("grp", "h").agg(F.max("sim").alias("best"))
-    return gains(candidates, rest, targets)
+    return gains(candidates, _best_without(targets, selected, gone), targets)
 
 
 def singletons(candidates: DataFrame, targets: DataFrame) -> DataFrame:
-    return similarities(targets, candidates).groupBy("grp", "s").agg(F.sum(F.col("w") * F.col("sim")).alias("single"))
+    return gains(candidates, None, targets).withColumnRenamed("gain", "single")
 
 
 def max_singleton_ratio(candidates: DataFrame, targets: DataFrame, costs: DataFrame, floor: int = 20) -> DataFrame:

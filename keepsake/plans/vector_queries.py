@@ -59,8 +59,8 @@ def coverage_gain(spark, sf_dir):
 
 @query(f"""WITH {SIMS}, g AS (SELECT grp, h, any_value(w) AS w, max(sim) AS best, coalesce(max(sim) FILTER (s % 2 = 1), 0) AS rest FROM x GROUP BY 1, 2) SELECT grp, round(sum(w * (best - rest)), 6) AS loss FROM g GROUP BY grp""")
 def coverage_set_loss(spark, sf_dir):
-    gone = selected(targets(spark, sf_dir)).where("s % 2 = 0")
-    return coverage.loss_of_set(_sims(spark, sf_dir), gone).select("grp", F.round("loss", 6).alias("loss"))
+    t = targets(spark, sf_dir)
+    return coverage.loss_of_set(t, selected(t), selected(t).where("s % 2 = 0")).select("grp", F.round("loss", 6).alias("loss"))
 
 
 @query(f"""WITH {SIMS}, k AS (SELECT grp, h, max(sim) AS best FROM x WHERE s % 2 = 1 GROUP BY 1, 2), c AS (SELECT grp, h AS s, hv AS sv FROM t WHERE h % 7 <> 0)
@@ -68,7 +68,7 @@ SELECT c.grp, c.s, round(sum(t.w * greatest(greatest(list_dot_product(hv::DOUBLE
 def coverage_gain_without(spark, sf_dir):
     t = targets(spark, sf_dir)
     gone = selected(t).where("s % 2 = 0").select("grp", "s")
-    return coverage.gain_without(vectors(t).where("s % 7 <> 0"), _sims(spark, sf_dir), t, gone).select("grp", "s", F.round("gain", 5).alias("gain"))
+    return coverage.gain_without(vectors(t).where("s % 7 <> 0"), selected(t), t, gone).select("grp", "s", F.round("gain", 5).alias("gain"))
 
 
 @query(f"""WITH {SIMS}, y AS (SELECT t.grp, c.h AS s, sum(t.w * greatest(list_dot_product(t.hv::DOUBLE[], c.hv::DOUBLE[]), 0)) AS single FROM t JOIN t c USING (grp) GROUP BY 1, 2)
@@ -125,14 +125,15 @@ def redundancy_trigger(spark, sf_dir):
     return consolidation.redundant(each, 2.0).select("cluster", F.round("mean", 6).alias("mean"))
 
 
-@query("""WITH q AS (SELECT vec_id AS id, embedding AS v FROM embeddings), c AS (SELECT label, array_agg(embedding ORDER BY vec_id)[1] AS cv FROM embeddings GROUP BY label), s AS (SELECT label, id, round(list_dot_product(v::DOUBLE[], cv::DOUBLE[]), 6) AS sim FROM q, c),
-m AS (SELECT id, max(sim) AS best FROM s GROUP BY id) SELECT id, best AS max_sim, 1 - best >= 0.85 AS novel FROM m""")
+@query("""WITH e AS (SELECT label, vec_id AS id, embedding AS v FROM embeddings), s AS (SELECT a.id, max(round(greatest(list_dot_product(a.v::DOUBLE[], b.v::DOUBLE[]), 0), 6)) AS best FROM e a JOIN e b ON a.label = b.label AND b.id % 7 = 0 AND a.id <> b.id GROUP BY a.id)
+SELECT e.id, coalesce(best, 0) AS max_sim, 1 - coalesce(best, 0) >= 0.85 AS novel FROM e LEFT JOIN s USING (id)""")
 def novelty(spark, sf_dir):
-    """Each vector's similarity to the nearest of ten stored ones, one for each label: a bounded set."""
-    e = read(spark, sf_dir, "embeddings")
-    stored = e.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("cv")).agg(F.collect_list("cv").alias("all"))
-    sims = F.transform("all", lambda c: F.round(dot(F.col("embedding"), c), 6))
-    return e.join(F.broadcast(stored)).select(F.col("vec_id").alias("id"), F.array_max(sims).alias("max_sim"), (1 - F.array_max(sims) >= 0.85).alias("novel"))
+    """Each vector's similarity to the nearest other one in its label's store, which is every seventh vector."""
+    t = targets(spark, sf_dir)
+    sims = coverage.similarities(t, selected(t)).where("h <> s")
+    best = sims.groupBy("h").agg(F.max(F.round("sim", 6)).alias("best"))
+    each = t.join(best, "h", "left").select(F.col("h").alias("id"), F.coalesce("best", F.lit(0.0)).alias("max_sim"))
+    return each.select("id", "max_sim", (1 - F.col("max_sim") >= 0.85).alias("novel"))
 
 
 @query("SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 6) AS norm, round(embedding[1]::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 6) AS first FROM embeddings")

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from keepsake.operators import evaluation
+from keepsake.operators import coverage, evaluation, retrieval
 from keepsake.plans import catalogue
 
 FOLDER = "/root/testdata/sf0.001"
@@ -29,3 +29,22 @@ def test_canonical_names_are_whole(spark):
 def test_hash_embedding_is_whole(spark):
     got = catalogue.queries()["hash_embedding"](spark, FOLDER)
     assert "digest" in got.columns and got.select("digest").distinct().count() > 1
+
+
+def test_blocks_change_nothing(spark, monkeypatch):
+    e = spark.read.parquet(f"{FOLDER}/embeddings.parquet")
+    corpus, asked = e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec")), e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vec"))
+    rows = lambda d: sorted(map(tuple, d.collect()))
+    assert rows(retrieval.dense_topk(corpus, asked, 7)) == rows(retrieval.dense_topk(corpus, asked, 7, held=1000))
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").select(F.col("doc_id").alias("id"), "text")
+    items = spark.read.parquet(f"{FOLDER}/benchmark.parquet").select(F.col("item_id").alias("query_id"), "text")
+    one, every = rows(retrieval.bm25(docs, items, 9)), rows(retrieval.bm25(docs, items))
+    monkeypatch.setattr(retrieval, "HELD_TERMS", 100)
+    monkeypatch.setattr(retrieval, "MOST", 400)
+    assert rows(retrieval.bm25(docs, items, 9)) == one and rows(retrieval.bm25(docs, items)) == every
+    t = e.select(F.col("label").alias("grp"), F.col("vec_id").alias("h"), F.col("embedding").alias("hv"), F.lit(1.5).alias("w"))
+    s = t.select("grp", F.col("h").alias("s"), F.col("hv").alias("sv"))
+    tops = lambda chunk: [tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in rows(coverage.top_two(coverage.similarities(t, s, chunk)))]
+    assert tops(4096) == tops(5)
+    gain = lambda chunk: [tuple(round(x, 6) if isinstance(x, float) else x for x in r) for r in rows(coverage.gains(s, None, t, chunk))]
+    assert gain(4096) == gain(5)
