@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Jump and decay of an event, floor of the base rate, least span in days.
@@ -31,20 +33,35 @@ def intensity(events: DataFrame, at: float, alpha: float = ALPHA, beta: float =
     return base_rate(events).join(excitation(events, at, alpha, beta), "key", "left").select("key", "mu", (F.col("mu") + F.coalesce("excitation", F.lit(0.0))).alias("intensity"))
 
 
-def at_events(events: DataFrame, beta: float = BETA) -> DataFrame:
+def at_events(events: DataFrame, beta: float = BETA, block: float = 30.0) -> DataFrame:
     """The decayed sum of a key's earlier and equal events at each of its events.
 
-    A key's events are folded in order of time, in one array by key: linear, where a self join is quadratic.
-    A key's events must fit a row; a hot key's history is bounded by decayed state in streaming/.
+    Days are dealt to blocks. Within one a running sum of exp(beta * day) is safe from overflow and a window of
+    one key and block is all that a task needs together; a key's blocks, a row each, are folded in order.
     """
-    days = F.array_sort(F.collect_list("day"))
-    start = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("last"), F.array().cast("array<struct<day:double,a:double>>").alias("out"))
-
-    def step(s: Column, d: Column) -> Column:
-        a = s["a"] * F.exp(-beta * (d - s["last"])) + 1.0
-        return F.struct(a.alias("a"), d.alias("last"), F.concat(s["out"], F.array(F.struct(d.alias("day"), a.alias("a")))).alias("out"))
-
-    return events.groupBy("key").agg(days.alias("d")).select("key", F.explode(F.aggregate("d", start, step)["out"]).alias("e")).groupBy("key", F.col("e.day").alias("day")).agg(F.max("e.a").alias("decayed"))
+    placed = events.select("key", "day").withColumn("b", F.floor(F.col("day") / block))
+    placed = placed.withColumn("x", F.exp(beta * (F.col("day") - F.col("b") * block)))
+    inner = F.sum("x").over(W.partitionBy("key", "b").orderBy("day").rangeBetween(W.unboundedPreceding, W.currentRow))
+    sums = placed.groupBy("key", "b").agg((F.sum("x") * float(np.exp(-beta * block))).alias("s"))  # as of the block's end
+    start = F.struct(F.lit(0.0).alias("a"), F.lit(0).cast("long").alias("b"), F.array().cast("array<struct<b:bigint,carry:double>>").alias("out"))
+
+    def step(s: Column, n: Column) -> Column:
+        carry = s["a"] * F.exp(-beta * block * (n["b"] - s["b"]))  # as of the start of block n
+        own = F.struct(n["b"].alias("b"), carry.alias("carry"))
+        return F.struct((carry * float(np.exp(-beta * block)) + n["s"]).alias("a"), (n["b"] + 1).alias("b"), F.concat(s["out"], F.array(own)).alias("out"))
+
+    folded = sums.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("b", "s"))).alias("l"))
+    carried = folded.select("key", F.inline(F.aggregate("l", start, step)["out"]))
+    each = placed.select("key", "b", "day", inner.alias("inner")).distinct().join(carried, ["key", "b"])
+    decayed = (F.col("inner") + F.col("carry")) * F.exp(-beta * (F.col("day") - F.col("b") * block))
+    return each.groupBy("key", "day").agg(F.max(decayed).alias("decayed"))
+
+
+def entry_weights(entries: DataFrame, intensities: DataFrame, floor: float = FLOOR) -> DataFrame:
+    """entries: id, keys; intensities: key, intensity. Each entry's weight: the largest of its keys, the floor for one
+    without events or keys."""
+    each = entries.select("id", F.explode_outer("keys").alias("key")).join(intensities.select("key", "intensity"), "key", "left")
+    return each.groupBy("id").agg(F.max(F.coalesce("intensity", F.lit(floor))).alias("weight"))
 
 
 def log_likelihood(events: DataFrame, alpha: Column | float, beta: Column | float, mu: str = "mu", horizon: str = "horizon") -> Column:

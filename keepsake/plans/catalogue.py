@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import conversation_queries, evaluation_queries, event_queries, fact_queries, retrieval_queries, text_queries, vector_queries  # noqa: F401
+from . import conversation_queries, evaluation_queries, event_queries, fact_queries, reading_queries, retrieval_queries, text_queries, vector_queries  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 

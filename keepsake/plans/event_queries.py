@@ -33,7 +33,7 @@ def hawkes_intensity(spark, sf_dir):
 
 @query(f"WITH {EVENTS} SELECT a.key, a.event_id, round(sum(exp(-0.1 * (a.day - b.day))), 6) AS decayed FROM e a JOIN e b ON a.key = b.key AND b.day <= a.day GROUP BY 1, 2")
 def hawkes_at_events(spark, sf_dir):
-    """What a self join gives in quadratic time, from a fold in linear time."""
+    """What a self join gives in quadratic time, from running sums in blocks of days."""
     e = events(spark, sf_dir)
     return e.select("key", "day", "event_id").join(hawkes.at_events(e.select("key", "day")), ["key", "day"]).select("key", "event_id", F.round("decayed", 6).alias("decayed"))
 
@@ -90,13 +90,7 @@ def events_session(spark, sf_dir):
     return e.groupBy("user_id", F.session_window("ts", "12 hours").alias("w")).agg(F.count(F.lit(1)).alias("n")).select("user_id", F.col("w.start").alias("start"), "n")
 
 
-@query("SELECT user_id, max(event_id) FILTER (event_type = 'x') AS none, array_to_string(list_sort(list(DISTINCT event_type)), ',') AS kinds FROM events GROUP BY user_id")
-def set_union(spark, sf_dir):
-    e = read(spark, sf_dir, "events")
-    return e.groupBy("user_id").agg(F.max(F.when(F.col("event_type") == "x", F.col("event_id"))).alias("none"), F.array_join(F.array_sort(F.collect_set("event_type")), ",").alias("kinds"))
-
-
-@query()
+@query(f"WITH {EVENTS}, m AS (SELECT key, day, event_id, max(day) OVER (PARTITION BY key) AS last FROM e) SELECT key, count(*) AS n, round(max(last), 6) AS last, round(sum(exp(-0.1 * (last - day))), 6) AS decayed FROM m GROUP BY key")
 def stream_hawkes_state(spark, sf_dir):
     """The decayed state of each key from a stream of the events, which ends when all are read."""
     from ..streaming.stateful import run_hawkes
