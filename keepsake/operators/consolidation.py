@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.text import entities
 from ..functions.vectors import dot
+from ..session import cut
 from .coverage import by_blocks, matrix
 
 
@@ -27,15 +29,8 @@ def near_pairs(entries: DataFrame, threshold: float) -> DataFrame:
 
 def clusters(entries: DataFrame, pairs: DataFrame) -> DataFrame:
     """(grp, id, cluster): single-link components, named by their least id. Large and small stars alternate until
-    no edge changes; edges are written between rounds, to the folder
-    that the session names; a local session without one keeps them."""
-    spark = entries.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(folder)
-    if not spark.sparkContext.getCheckpointDir() and not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    keep = (lambda d: d.checkpoint()) if spark.sparkContext.getCheckpointDir() else (lambda d: d.persist())
+    no edge changes; edges are written between rounds, to the shared folder."""
+    keep = lambda d: cut(d, "edges")
     state = lambda d: tuple(d.agg(F.count(F.lit(1)), F.sum(F.xxhash64("grp", "u", "v").cast("decimal(38,0)"))).first())
     edges = keep(pairs.where("a <> b").select("grp", F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before = state(edges)
@@ -87,3 +82,17 @@ def supported(summaries: DataFrame, rate: float = 0.8) -> DataFrame:
     """summaries: summary, fact, support (whether members entail it). Accepted ones keep only their supported facts."""
     share = F.avg(F.col("support").cast("double")).over(W.partitionBy("summary"))
     return summaries.select("*", share.alias("rate")).where((F.col("rate") >= rate) & F.col("support"))
+
+
+def summaries(members: DataFrame, vectors: DataFrame, labels: DataFrame, least: int = 3) -> DataFrame:
+    """members: grp, id, text, speaker, ts; vectors: grp, id, vec; labels: grp, id, cluster. A fact for each cluster of at
+    least so many: what its medoid says under the topic of its commonest entity, from its first day, with its sources."""
+    medoid = medoids(vectors, labels, least).select("grp", "cluster", F.col("medoid").alias("id"))
+    own = members.join(labels, ["grp", "id"])
+    names = own.select(F.struct("grp", "cluster").alias("cluster"), F.explode(F.array_distinct(entities(F.col("text")))).alias("entity"))
+    topic = modal_entity(names.withColumn("entity", F.lower("entity"))).select("cluster.grp", "cluster.cluster", F.regexp_replace("entity", " ", "_").alias("topic"))
+    whole = own.groupBy("grp", "cluster").agg(F.min("ts").alias("valid_from"), F.array_sort(F.collect_set("id")).alias("sources"), F.max((F.col("speaker") == "user").cast("int")).alias("by_user"))
+    said = medoid.join(members.select("grp", "id", F.col("text").alias("value")), ["grp", "id"]).drop("id")
+    found = said.join(whole, ["grp", "cluster"]).join(topic, ["grp", "cluster"], "left")
+    entity = F.when(F.col("by_user") == 1, "user").otherwise("assistant")
+    return found.select("grp", "cluster", entity.alias("entity"), F.concat(F.lit("recurring_"), F.coalesce("topic", F.lit("general"))).alias("attribute"), "value", "valid_from", "sources", F.lit("inferred").alias("kind"))

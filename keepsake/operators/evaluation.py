@@ -5,6 +5,7 @@ from __future__ import annotations
 import difflib
 import hashlib
 import json
+import os
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -19,7 +20,7 @@ def rate(num: str, den: str) -> Column:
 def metrics(records: DataFrame) -> DataFrame:
     """One row for all records and one for each stratum, in one pass over grouping sets.
 
-    Unjudged records count in n but not in accuracy; evidence rates are means over answerable questions with
+    Unjudged records count in n but not in accuracy; strict survival leaves out what only a summary keeps; evidence rates are means over answerable questions with
     evidence; abstention rates are right over abstention questions and false over the others.
     """
     can = ~F.col("is_abstention")
@@ -27,6 +28,7 @@ def metrics(records: DataFrame) -> DataFrame:
     return records.groupingSets([[], [F.col("stratum")]], F.col("stratum")).agg(
         F.count(F.lit(1)).alias("n"), F.count("correct").alias("n_judged"), mean(F.col("correct").cast("double")).alias("accuracy"),
         mean(F.when(can, rate("n_written", "n_evidence"))).alias("write_rate"), mean(F.when(can, rate("n_survived", "n_evidence"))).alias("survival_rate"),
+        mean(F.when(can, rate("n_survived_strict", "n_evidence"))).alias("survival_rate_strict"), mean((F.col("invalid_citations") > 0).cast("double")).alias("invalid_citation_rate"),
         mean(F.when(can, rate("n_injected", "n_evidence"))).alias("injection_rate"), mean(F.when(~can, F.col("abstained").cast("double"))).alias("correct_abstention"),
         mean(F.when(can, F.col("abstained").cast("double"))).alias("false_abstention"), mean(F.col("injected_tokens")).alias("tokens_per_query"), mean(rate("store_tokens", "history_tokens")).alias("store_fraction"),
     )
@@ -123,6 +125,36 @@ def identity(config: dict, ingest: bool = False) -> str:
     return hashlib.sha1(json.dumps(kept, sort_keys=True, default=str).encode()).hexdigest()[:12]
 
 
+def inherited(path: str, read=None, seen: tuple[str, ...] = ()) -> dict:
+    """The settings of a file over those of the one it names under ``extends``, relative to its own folder; ValueError
+    if files name each other in a circle. read: from a path to a dict, JSON by default."""
+    path = os.path.abspath(path)
+    if path in seen:
+        raise ValueError(f"settings extend each other: {' -> '.join((*seen, path))}")
+    if read is None:
+        with open(path) as f:
+            own = json.load(f)
+    else:
+        own = read(path)
+    own = dict(own)
+    parent = own.pop("extends", None)
+    return overlay(inherited(os.path.join(os.path.dirname(path), parent), read, (*seen, path)), own) if parent else own
+
+
+def override(said: str) -> dict:
+    """``write.policy=sieve`` as a tree; values are JSON where they can be, else text."""
+    key, eq, value = said.partition("=")
+    if not eq:
+        raise ValueError(f"not of the form key=value: {said!r}")
+    try:
+        out = json.loads(value.strip())
+    except ValueError:
+        out = value.strip()
+    for part in reversed(key.strip().split(".")):
+        out = {part: out}
+    return out
+
+
 def overlay(base: dict, over: dict) -> dict:
     """base with over's values, dicts merged in depth."""
     return base | {k: overlay(base[k], v) if isinstance(v, dict) and isinstance(base.get(k), dict) else v for k, v in over.items()}

@@ -127,6 +127,26 @@ def normalised_attribute(attribute: Column, custom: Column) -> Column:
     return F.when(attribute.isin(*[a for a in ATTRIBUTES if a != "other"]), attribute).otherwise(F.coalesce(F.nullif(custom, F.lit("")), attribute))
 
 
+def extracted(sessions: DataFrame, model: Callable[[list[str]], list[str]], again: Callable[[list[str]], list[str]] | None = None) -> DataFrame:
+    """sessions: session_id, text, n_turns. (session_id, raw, out, ok): a model's replies and what they say.
+
+    Degenerate replies are asked for once more, of `again`, and the second stands if it isn't degenerate. Turn
+    numbers outside a session are moved to its ends. Where nothing can be read, out is null and ok false: facts and
+    episodes of the rules take its place.
+    """
+    first = by_model(sessions.select("session_id", "text", "n_turns"), model)
+    if again is not None:
+        bad = first.join(degenerate(first).where("degenerate").select("session_id"), "session_id", "left_semi").drop("raw")
+        second = by_model(bad, again)
+        good = second.join(degenerate(second).where("NOT degenerate").select("session_id"), "session_id", "left_semi")
+        first = first.join(good.select("session_id", F.col("raw").alias("_raw")), "session_id", "left").withColumn("raw", F.coalesce("_raw", "raw")).drop("_raw")
+    last = F.greatest(F.col("n_turns") - 1, F.lit(0))
+    clamped = lambda items: F.transform(items, lambda x: x.withField("turn_idx", F.greatest(F.lit(0), F.least(x["turn_idx"], last))))
+    out = first.withColumn("out", parse(F.col("raw")))
+    out = out.withColumn("out", F.when(F.col("out.episodes").isNotNull() & F.col("out.facts").isNotNull(), F.struct(clamped(F.col("out.episodes")).alias("episodes"), clamped(F.col("out.facts")).alias("facts"))))
+    return out.select("session_id", "raw", "out", (F.col("out").isNotNull() & F.get_json_object("raw", "$").isNotNull()).alias("ok"))
+
+
 def by_model(sessions: DataFrame, model: Callable[[list[str]], list[str]], text: str = "text", batch: int = 64) -> DataFrame:
     """sessions with a column raw: a model's replies, whatever the model; it is called with lists of texts."""
 

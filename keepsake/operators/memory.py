@@ -7,11 +7,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.temporal import parse_temporal
-from ..functions.text import count_tokens, format_fact, tokens
+from ..functions.text import count_tokens, entities, format_fact, make_id, tokens
 from ..functions.vectors import dot, hash_embedding
+from ..session import cut
 from . import answering, chains, extraction, packing, selection
 from .kernels import Config
-from .retrieval import B, K1, RRF_K, ranked
+from .evaluation import should_abstain
+from .reading import excerpts
+from .retrieval import B, K1, RRF_K, hop_share, neighbour_scores, ranked, top_entities
 
 DIM = 256
 
@@ -69,15 +72,57 @@ def resolve(found: DataFrame, kept: DataFrame, questions: DataFrame) -> DataFram
     return episodes.select("question_id", "id", "rel").unionByName(moved.select("question_id", F.col("seq").alias("id"), "rel"))
 
 
-def ask(kept: DataFrame, questions: DataFrame, budget: int = 2000) -> DataFrame:
-    """questions: question_id, memory, question, now (timestamp_ntz). What is packed for each, by greedy coverage."""
-    rel = resolve(retrieve(kept, questions), kept, questions)
-    full = rel.join(kept, "id").select(F.col("question_id").alias("query_id"), "id", "rel", "cost", "vec")
-    packed = packing.by_query(full, budget)
-    return packed.select(F.col("query_id").alias("question_id"), "id").join(rel, ["question_id", "id"]).join(kept.drop("vec"), "id")
-
-
-def answers(packed: DataFrame, questions: DataFrame) -> DataFrame:
-    """An extractive answer for every question, with an abstention where nothing is packed."""
+def hops(rel: DataFrame, kept: DataFrame, questions: DataFrame, budget: int) -> DataFrame:
+    """question_id, id, rel, hop, hop2: what was found, and entries of the same memory that share the commonest entities of
+    its best ones, by their similarity to the question, facts as of the time that it is about; hop2 is the second hop's
+    budget."""
+    named = kept.select("memory", "id", F.explode(F.array_distinct(F.transform(entities(F.col("text")), F.lower))).alias("entity"))
+    first = rel.select(F.col("question_id").alias("query_id"), "id", "rel")
+    memories = questions.select(F.col("question_id").alias("query_id"), "memory")
+    asked = top_entities(first, named.select("id", "entity")).join(memories, "query_id").select("query_id", "memory", "entity")
+    reached = asked.join(named, ["memory", "entity"]).select("query_id", "id").distinct().join(first, ["query_id", "id"], "left_anti")
+    vectors = questions.select(F.col("question_id").alias("query_id"), hash_embedding(DIM)("question").alias("qv"))
+    near = reached.join(kept.select("id", "vec"), "id").join(vectors, "query_id")
+    scored = near.select(F.col("query_id").alias("question_id"), "id", (0.7 * F.greatest(dot(F.col("vec"), F.col("qv")), F.lit(0.0))).alias("rel")).where("rel > 0")
+    resolved = resolve(cut(scored, "second"), kept, questions).groupBy(F.col("question_id").alias("query_id"), "id").agg(F.max("rel").alias("rel"))
+    second = resolved.join(first, ["query_id", "id"], "left_anti")
+    both = first.withColumn("hop", F.lit(1)).unionByName(second.withColumn("hop", F.lit(2)))
+    share = hop_share(first, budget).select("query_id", "hop2")
+    return both.join(share, "query_id").withColumnRenamed("query_id", "question_id")
+
+
+def ask(kept: DataFrame, questions: DataFrame, budget: int = 2000, second: bool = True) -> DataFrame:
+    """questions: question_id, memory, question, now (timestamp_ntz). What is packed for each, by greedy coverage, of what
+    search finds and, with second, of what is one entity away."""
+    rel = cut(resolve(cut(retrieve(kept, questions), "found"), kept, questions), "resolved")
+    if second:
+        found = hops(rel, kept, questions, budget)
+        packed = packing.by_hops(found.join(kept, "id").select(F.col("question_id").alias("query_id"), "id", "rel", "cost", "vec", "hop", "hop2"), budget)
+    else:
+        found = rel
+        packed = packing.by_query(rel.join(kept, "id").select(F.col("question_id").alias("query_id"), "id", "rel", "cost", "vec"), budget)
+    scores = found.select("question_id", "id", "rel")
+    return packed.select(F.col("query_id").alias("question_id"), "id").join(scores, ["question_id", "id"]).join(kept.drop("vec"), "id")
+
+
+def verbatim(packed: DataFrame, turns: DataFrame, budget: int) -> DataFrame:
+    """turns: memory, session_id, turn, role, ts, text. Excerpts around what is packed: question_id, id, session_id, turn,
+    position, text."""
+    hits = packed.select("question_id", "memory", "session_id", "turn", "rel").where("turn >= 0")
+    own = F.struct("question_id", "memory", "session_id")
+    placed = turns.select("memory", "session_id", "turn", "text", count_tokens(F.col("text")).alias("cost"), make_id("raw", F.col("memory"), F.col("session_id"), F.col("turn")).alias("id"))
+    asked = hits.select("question_id", "memory", "session_id").distinct().join(placed, ["memory", "session_id"])
+    scores = neighbour_scores(hits.select(own.alias("session_id"), "turn", "rel"), asked.select(own.alias("session_id"), "turn"))
+    scored = scores.select("session_id.*", "turn", "score").join(placed, ["memory", "session_id", "turn"])
+    chosen = excerpts(scored, "question_id", budget)
+    return chosen.join(scored.select("question_id", "id", "text"), ["question_id", "id"])
+
+
+def answers(packed: DataFrame, questions: DataFrame, tau: float = 0.0) -> DataFrame:
+    """An extractive answer for every question, with an abstention where nothing is packed, or where the best entry's
+    relevance is below tau and no packed entry has a word of the question."""
     found = answering.extractive(packed)
-    return questions.select("question_id").join(found, "question_id", "left").select("question_id", F.coalesce("answer", F.lit(answering.ABSTAIN)).alias("answer"))
+    own = packed.groupBy("question_id").agg(F.max("rel").alias("top"), F.count(F.lit(1)).alias("n"), F.array_distinct(F.flatten(F.collect_list(tokens(F.col("text"))))).alias("terms"))
+    both = questions.select("question_id", tokens(F.col("question")).alias("asked")).join(found, "question_id", "left").join(own, "question_id", "left")
+    none = should_abstain(F.coalesce("n", F.lit(0)), F.coalesce("top", F.lit(0.0)), tau, F.col("asked"), F.coalesce("terms", F.array().cast("array<string>")))
+    return both.select("question_id", F.when(none, F.lit(answering.ABSTAIN)).otherwise(F.col("answer")).alias("answer"))

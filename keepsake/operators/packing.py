@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .kernels import pack_greedy, pack_mmr
+from .kernels import pack_greedy, pack_hops, pack_mmr
 
 
 def skip_fit(items: DataFrame, group: str, budget: int, order: Column, cost: str = "cost") -> DataFrame:
@@ -16,13 +16,14 @@ def skip_fit(items: DataFrame, group: str, budget: int, order: Column, cost: str
 
     A fold over one array a group: for candidates of a query, which retrieval bounds.
     """
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<bigint>").alias("ids"))
+    kind = items.schema["id"].dataType.simpleString()
+    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast(f"array<{kind}>").alias("ids"))
 
     def step(s: Column, x: Column) -> Column:
         fits = s["used"] + x["cost"] <= budget
         return F.when(fits, F.struct((s["used"] + x["cost"]).alias("used"), F.concat(s["ids"], F.array(x["id"])).alias("ids"))).otherwise(s)
 
-    rows = F.array_sort(F.collect_list(F.struct(order.alias("o"), F.col("id").cast("long").alias("id"), F.col(cost).cast("long").alias("cost"))))
+    rows = F.array_sort(F.collect_list(F.struct(order.alias("o"), F.col("id"), F.col(cost).cast("long").alias("cost"))))
     folded = items.groupBy(group).agg(F.aggregate(rows, start, step).alias("p"))
     return folded.select(group, F.posexplode("p.ids").alias("position", "id"))
 
@@ -49,6 +50,25 @@ def by_query(candidates: DataFrame, budget: int, how: str = "greedy") -> DataFra
     return candidates.select("query_id", "id", "rel", "cost", "vec").groupBy("query_id").applyInPandas(run, f"query_id {kind}, position int, id string, cost long")
 
 
+def by_hops(candidates: DataFrame, budget: int, how: str = "greedy") -> DataFrame:
+    """candidates: query_id, id, rel, cost, vec, hop (1 or 2), hop2 (the second hop's budget). The second hop gets what it
+    is promised and all that the first leaves."""
+    pack = {"greedy": pack_greedy, "mmr": pack_mmr}[how]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["rel", "id"], ascending=[False, True])
+        ids = pdf["id"].astype(str)
+        vecs = {i: np.asarray(v, np.float32) for i, v in zip(ids, pdf["vec"], strict=True)}
+        cost = {i: max(int(c), 1) for i, c in zip(ids, pdf["cost"], strict=True)}
+        rel = dict(zip(ids, map(float, pdf["rel"]), strict=True))
+        first, second = (ids[pdf["hop"] == h].tolist() for h in (1, 2))
+        out = pack_hops(first, second, budget, int(pdf["hop2"].iloc[0]), cost, lambda own, most: pack(own, rel, cost, vecs, most))
+        return pd.DataFrame({"query_id": [pdf["query_id"].iloc[0]] * len(out), "position": range(len(out)), "id": out, "cost": [cost[i] for i in out]})
+
+    kind = candidates.schema["query_id"].dataType.simpleString()
+    return candidates.select("query_id", "id", "rel", "cost", "vec", "hop", "hop2").groupBy("query_id").applyInPandas(run, f"query_id {kind}, position int, id string, cost long")
+
+
 def chunks(turns: DataFrame, words: int = 150) -> DataFrame:
     """turns: session_id, turn, text. Runs of at most so many words, in order."""
     cut = F.filter(F.split("text", "\\s+"), lambda w: w != "")

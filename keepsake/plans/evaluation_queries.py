@@ -8,7 +8,7 @@ from ..operators import evaluation
 from .registry import query, read
 
 RECORDS = """r AS (SELECT l.doc_id, CASE WHEN l.doc_id % 9 = 0 THEN NULL ELSE l.quality = 1 END AS correct, l.toxic = 1 AS abstained, lang AS stratum, l.doc_id % 5 = 0 AS is_abstention, l.doc_id % 4 AS n_evidence,
-    least(l.doc_id % 4, l.doc_id % 3) AS n_written, least(l.doc_id % 4, l.doc_id % 2) AS n_survived, least(l.doc_id % 4, l.doc_id % 2) AS n_injected, n_chars % 2000 AS injected_tokens, n_chars // 8 AS store_tokens, n_chars // 4 AS history_tokens FROM labels l JOIN documents USING (doc_id))"""
+    least(l.doc_id % 4, l.doc_id % 3) AS n_written, least(l.doc_id % 4, l.doc_id % 2) AS n_survived, least(l.doc_id % 4, l.doc_id % 2) AS n_injected, least(l.doc_id % 4, l.doc_id % 2, l.doc_id % 3) AS n_survived_strict, l.doc_id % 6 // 5 AS invalid_citations, n_chars % 2000 AS injected_tokens, n_chars // 8 AS store_tokens, n_chars // 4 AS history_tokens FROM labels l JOIN documents USING (doc_id))"""
 
 
 def records(spark, sf_dir):
@@ -16,11 +16,11 @@ def records(spark, sf_dir):
     k = F.col("doc_id")
     return j.select(
         "doc_id", F.when(k % 9 != 0, F.col("quality") == 1).alias("correct"), (F.col("toxic") == 1).alias("abstained"), F.col("lang").alias("stratum"), (k % 5 == 0).alias("is_abstention"), (k % 4).alias("n_evidence"),
-        F.least(k % 4, k % 3).alias("n_written"), F.least(k % 4, k % 2).alias("n_survived"), F.least(k % 4, k % 2).alias("n_injected"), (F.col("n_chars") % 2000).alias("injected_tokens"), F.floor(F.col("n_chars") / 8).alias("store_tokens"), F.floor(F.col("n_chars") / 4).alias("history_tokens"),
+        F.least(k % 4, k % 3).alias("n_written"), F.least(k % 4, k % 2).alias("n_survived"), F.least(k % 4, k % 2).alias("n_injected"), F.least(k % 4, k % 2, k % 3).alias("n_survived_strict"), F.floor(k % 6 / 5).alias("invalid_citations"), (F.col("n_chars") % 2000).alias("injected_tokens"), F.floor(F.col("n_chars") / 8).alias("store_tokens"), F.floor(F.col("n_chars") / 4).alias("history_tokens"),
     )
 
 
-@query(f"""WITH {RECORDS} SELECT stratum, count(*) AS n, count(correct) AS n_judged, round(avg(correct::INT), 6) AS accuracy, round(avg(n_written / nullif(n_evidence, 0)) FILTER (NOT is_abstention), 6) AS write_rate, round(avg(n_survived / nullif(n_evidence, 0)) FILTER (NOT is_abstention), 6) AS survival_rate,
+@query(f"""WITH {RECORDS} SELECT stratum, count(*) AS n, count(correct) AS n_judged, round(avg(correct::INT), 6) AS accuracy, round(avg(n_written / nullif(n_evidence, 0)) FILTER (NOT is_abstention), 6) AS write_rate, round(avg(n_survived / nullif(n_evidence, 0)) FILTER (NOT is_abstention), 6) AS survival_rate, round(avg(n_survived_strict / nullif(n_evidence, 0)) FILTER (NOT is_abstention), 6) AS survival_rate_strict, round(avg((invalid_citations > 0)::INT), 6) AS invalid_citation_rate,
 round(avg(n_injected / nullif(n_evidence, 0)) FILTER (NOT is_abstention), 6) AS injection_rate, round(avg(abstained::INT) FILTER (is_abstention), 6) AS correct_abstention, round(avg(abstained::INT) FILTER (NOT is_abstention), 6) AS false_abstention,
 round(avg(injected_tokens), 6) AS tokens_per_query, round(avg(store_tokens / nullif(history_tokens, 0)), 6) AS store_fraction FROM r GROUP BY GROUPING SETS ((), (stratum))""")
 def metric_rates(spark, sf_dir):

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import re
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -15,3 +19,21 @@ SETTINGS = {
 def session(master: str | None = None, **settings: str) -> SparkSession:
     builder = SparkSession.builder.appName("keepsake").config(map=SETTINGS | {k.replace("__", "."): v for k, v in settings.items()})
     return (builder.master(master) if master else builder).getOrCreate()
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as the session names it; a local session without one gets its own."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = tempfile.mkdtemp(prefix="keepsake-")
+        spark.sparkContext.setCheckpointDir(found)
+    return found
+
+
+def cut(df: DataFrame, name: str) -> DataFrame:
+    """df, written to the shared folder and read again: its plan ends here and no executor's loss undoes it."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,13 +45,43 @@ def evidence_turns(turns_of: DataFrame) -> DataFrame:
     return turns_of.where("has_answer").groupBy("question_id", "session_id").agg(F.array_sort(F.collect_set("turn")).alias("turns"))
 
 
-def save(df: DataFrame, path: str) -> None:
-    """A snapshot; readers of an older version keep it until the new one stands."""
-    df.write.mode("overwrite").parquet(path)
+def _versions(spark: SparkSession, path: str) -> list[str]:
+    """The whole versions of a snapshot, oldest first."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(p)]
+    done = lambda n: fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))
+    return sorted(n for n in names if re.fullmatch("v[0-9]{9}", n) and done(n))
+
+
+def save(df: DataFrame, path: str) -> str:
+    """A new version of a snapshot, in a folder of its own; older ones stay, so df may be read from one. The folder's path."""
+    found = _versions(df.sparkSession, path)
+    to = f"{path}/v{int(found[-1][1:]) + 1 if found else 0:09d}"
+    df.write.mode("overwrite").parquet(to)  # what an attempt that failed left there
+    return to
 
 
 def restore(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("mergeSchema", "true").parquet(path)
+    """The last whole version; columns that came later are null in files without them."""
+    found = _versions(spark, path)
+    if not found:
+        raise ValueError(f"no snapshot in {path}")
+    return spark.read.option("mergeSchema", "true").parquet(f"{path}/{found[-1]}")
+
+
+def save_split(items: DataFrame, path: str, key: str = "id") -> None:
+    """items: key, dev. Which items are for development and which for the test."""
+    items.select(key, "dev").write.mode("errorifexists").json(path)
+
+
+def load_split(items: DataFrame, path: str, key: str = "id") -> DataFrame:
+    """items with the column dev of a saved split; items that it doesn't have are left out."""
+    kind = items.schema[key].dataType.simpleString()
+    saved = items.sparkSession.read.schema(f"`{key}` {kind}, dev boolean").json(path)
+    return items.drop("dev").join(saved, key)
 
 
 def append_results(results: DataFrame, path: str) -> None:

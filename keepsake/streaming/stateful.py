@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import pickle
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +15,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.hawkes import BETA
 from ..operators.kernels import Config, Entry, Selector
+from ..session import shared_dir
 
 
 def hawkes_state(events: DataFrame, beta: float = BETA) -> DataFrame:
@@ -79,13 +81,7 @@ def run_to_end(stream: DataFrame, checkpoint: str, path: str, key: str) -> DataF
 
 
 def run_hawkes(spark: SparkSession, path: str) -> DataFrame:
-    import tempfile
-    import uuid
-
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not shared and not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    folder = f"{shared or tempfile.mkdtemp()}/stream-{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     schema = spark.read.parquet(path).schema
     source, name = path.rsplit("/", 1)
     stream = spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(source) if not _is_folder(spark, path) else spark.readStream.schema(schema).parquet(path)
