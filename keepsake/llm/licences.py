@@ -1,17 +1,17 @@
 """Licence scans (5), native: which paragraphs state a licence, and of which family?
 
-Each line is judged, and so are paragraphs, which end at blank lines, for notices that run over lines. For each family a sparse logistic regression over word unigrams and bigrams is
-trained on the driver: positives are the family's templates and worn copies of them, negatives the other
-families, phrases that only sound like licences, and lines of a bounded sample of documents. The lasso
-leaves a few n-grams a family. A paragraph's families are all confirmed ones, else the likeliest, or `unknown` below a threshold
-calibrated on worn copies and lines that training hasn't seen; a prediction is confirmed when the words of
+Each line is judged, and so are paragraphs, which end at blank lines, for notices that run over lines. For
+each family a sparse logistic regression over word unigrams and bigrams is trained on the driver: positives
+are the family's templates and worn copies of them, negatives the other families, phrases that only sound
+like licences, and lines of a bounded sample of documents. The lasso leaves a few n-grams a family. A
+paragraph's families are all confirmed ones, else the likeliest, or `unknown` below a threshold calibrated on worn copies and lines that training hasn't seen; a prediction is confirmed when the words of
 one of the family's templates stand in the paragraph to a sufficient share.
 
 Scoring is column expressions over the lines of a text: no shuffle, no Python. Only lines that hold the
 rarest word of at least one n-gram are scored; all others have no feature, so their scores are the
 intercepts, which are unknown.
 
-Defined results: a null or empty text has no licence; an empty table gives an empty result; repeated rows
+Defined results: a null or empty text has no licence; a text of any length is read wholly; an empty table gives an empty result; repeated rows
 and null ids are scanned each; other columns are not read; no documents to sample leave the phrases as
 negatives.
 """
@@ -52,6 +52,8 @@ PHRASES = (
 UNKNOWN = "unknown"
 #: Sampled documents, their lines at most, worn copies of a template, penalty, least share of a template's words.
 SAMPLE, LINES, COPIES, PENALTY, CONFIRM = 300, 3000, 40, 0.002, 0.6
+#: Words of a run that training takes for a line.
+RUN = 60
 BREAK = "[^a-z0-9.]+"
 #: The end of a line before a blank one.
 BLANK_LINE = "\n(?=[ \\t\\r]*(?:\n|$))"
@@ -122,12 +124,15 @@ def train(lines: list[str], templates: dict[str, tuple[str, ...]] = TEMPLATES, s
     return Model(tuple(families), float(max(good.mean(), *(sigmoid(np.array([f.intercept]))[0] + 0.01 for f in families))), tuple(sorted(rarest)))
 
 
-def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", most: int = SAMPLE) -> Model:
-    """Negatives come from `most` documents, taken by a hash of the id; everything else is fixed."""
+def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", most: int = SAMPLE, lines: int = LINES) -> Model:
+    """Negatives come from the lines of `most` documents, long ones in runs of RUN words, of which at most `lines` are
+    taken, both by a hash; everything else is fixed."""
     taken = docs.select(F.col(key).alias("id")).where("id is not null").distinct().orderBy(F.xxhash64("id"), "id").limit(most)
-    rows = docs.select(F.col(key).alias("id"), F.explode(F.split(F.col(text), "\n")).alias("line")).join(F.broadcast(taken), "id")
-    lines = rows.where("line <> ''").orderBy(F.xxhash64("line"), "line").limit(LINES).select(F.substring("line", 1, 400).alias("line"))
-    return train([r.line for r in lines.collect()])
+    rows = docs.select(F.col(key).alias("id"), F.explode(F.split(F.col(text), "\n")).alias("line")).join(F.broadcast(taken), "id").where("line <> ''")
+    words = rows.select(F.split("line", "\\s+").alias("w"))
+    starts = F.sequence(F.lit(0), F.size("w") - 1, F.lit(RUN))
+    runs = words.select(F.explode(F.transform(starts, lambda i: F.array_join(F.slice("w", i + 1, F.lit(RUN)), " "))).alias("run"))
+    return train([r.run for r in runs.orderBy(F.xxhash64("run"), "run").limit(lines).collect()])
 
 
 def _strings(values) -> Column:
