@@ -4,7 +4,8 @@ Each line is judged, and so are paragraphs, which end at blank lines, for notice
 each family a sparse logistic regression over word unigrams and bigrams is trained on the driver: positives
 are the family's templates and worn copies of them, negatives the other families, phrases that only sound
 like licences, and lines of a bounded sample of documents. The lasso leaves a few n-grams a family. A
-paragraph's families are all confirmed ones, else the likeliest, or `unknown` below a threshold calibrated on worn copies and lines that training hasn't seen; a prediction is confirmed when the words of
+paragraph's families are all confirmed ones, else the likeliest, or `unknown` below a threshold. That is calibrated in two folds, on worn copies of every other
+template and on every other line, by regressions that saw neither. A prediction is confirmed when the words of
 one of the family's templates stand in the paragraph to a sufficient share.
 
 Scoring is column expressions over the lines of a text: no shuffle, no Python. Only lines that hold the
@@ -97,9 +98,26 @@ def train(lines: list[str], templates: dict[str, tuple[str, ...]] = TEMPLATES, s
     own = [set(t) for ts in cut.values() for t in ts]
     plain = [w for w in map(line_words, lines) if not any(len(t & set(w)) >= 0.5 * len(t) for t in own)] + [line_words(p) for p in PHRASES for _ in range(8)]
     filler = sorted({w for ws in plain for w in ws})
-    rows = [(None, ws) for ws in plain] + [(f, _worn(list(t), rng, filler) if k else list(t)) for f, ts in cut.items() for t in ts for k in range(COPIES)]
+    rows = [(None, i % 2, ws) for i, ws in enumerate(plain)]
+    rows += [(f, i % 2, _worn(list(t), rng, filler) if k else list(t)) for f, ts in cut.items() for i, t in enumerate(ts) for k in range(COPIES)]
     rng.shuffle(rows)
-    found = [(f, grams(ws)) for f, ws in rows]
+    found = [(f, fold, grams(ws)) for f, fold, ws in rows]
+    best = np.zeros(len(found))
+    for k in (0, 1):  # for the threshold alone
+        part = _families([(f, gs) for f, fold, gs in found if fold != k], cut)
+        best += [max(_chance(gs, f) for f in part) if fold == k else 0.0 for _, fold, gs in found]
+    is_plain = np.array([f is None for f, _, _ in found])
+    cuts = np.linspace(0.05, 0.95, 91)
+    errors = [(best[is_plain] >= c).mean() + (best[~is_plain] < c).mean() for c in cuts]
+    good = cuts[np.array(errors) <= min(errors) + 1e-12]
+    families = _families([(f, gs) for f, _, gs in found], cut)
+    common = Counter(g for f, _, gs in found if f is None for g in gs)
+    rarest = {min(g.split(" "), key=lambda w: (common[w], w)) for f in families for g, w in f.weights if w > 0}
+    return Model(families, float(max(good.mean(), *(sigmoid(np.array([f.intercept]))[0] + 0.01 for f in families))), tuple(sorted(rarest)))
+
+
+def _families(found: list[tuple[str | None, set[str]]], cut: dict[str, tuple[tuple[str, ...], ...]]) -> tuple[Family, ...]:
+    """A regression for each family against all other rows; rows of no family have None."""
     common = Counter(g for f, gs in found if f is None for g in gs)
     n_plain = sum(f is None for f, _ in found)
     seen = Counter(g for f, gs in found if f is not None for g in gs)
@@ -108,20 +126,15 @@ def train(lines: list[str], templates: dict[str, tuple[str, ...]] = TEMPLATES, s
     x = np.zeros((len(found), len(features)))
     for i, (_, gs) in enumerate(found):
         x[i, [at[g] for g in gs if g in at]] = 1
-    fold = np.arange(len(found)) % 4 == 3  # for the threshold alone
-    families, best = [], np.zeros(len(found))
+    out = []
     for name, ts in cut.items():
-        y = np.array([f == name for f, _ in found], float)
-        w, b = lasso_logistic(x[~fold], y[~fold], PENALTY, 600)
-        p = sigmoid(x @ w + b)
-        best = np.maximum(best, p)
-        families.append(Family(name, b, tuple((g, float(w[j])) for j, g in enumerate(features) if abs(w[j]) > 1e-3), ts))
-    is_plain = np.array([f is None for f, _ in found])
-    cuts = np.linspace(0.05, 0.95, 91)
-    errors = [(best[fold & is_plain] >= c).mean() + (best[fold & ~is_plain] < c).mean() if fold.any() else 0 for c in cuts]
-    good = cuts[np.array(errors) <= min(errors) + 1e-12]
-    rarest = {min(g.split(" "), key=lambda w: (common[w], w)) for f in families for g, w in f.weights if w > 0}
-    return Model(tuple(families), float(max(good.mean(), *(sigmoid(np.array([f.intercept]))[0] + 0.01 for f in families))), tuple(sorted(rarest)))
+        w, b = lasso_logistic(x, np.array([f == name for f, _ in found], float), PENALTY, 600)
+        out.append(Family(name, b, tuple((g, float(w[j])) for j, g in enumerate(features) if abs(w[j]) > 1e-3), ts))
+    return tuple(out)
+
+
+def _chance(gs: set[str], f: Family) -> float:
+    return float(sigmoid(np.array(f.intercept + sum(w for g, w in f.weights if g in gs))))
 
 
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", most: int = SAMPLE, lines: int = LINES) -> Model:
