@@ -8,7 +8,8 @@ text without blanks are read wholly; dictionaries learn from windows of such a w
 The toxic dictionary holds the staircases of words whose beginnings are far more frequent among toxic rows,
 the strongest last, where offsets are short; the ordinary one holds those of the commonest words of the
 other rows. A window's gain is the bytes that the toxic dictionary saves against the ordinary one, per
-byte. Gains repeat with the words, so each worker keeps them in tables of bounded size.
+byte. Gains repeat with the words, so each worker keeps them in tables of bounded size. Only gains over a
+tenth count, so of a run the table holds these and the number of its windows.
 
 A text's score is a logistic function of a few numbers of its gains, calibrated on gains from
 dictionaries that haven't seen the row (two folds). Whole texts are read, with no shuffle.
@@ -24,6 +25,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -40,11 +42,13 @@ SAMPLE = 5000
 SAMPLE_BYTES = 100 << 20
 #: Letters of a window, least letters of a stem, words in the ordinary dictionary.
 REACH, STEM, ORDINARY = 10, 3, 2000
-#: Bytes of each of a worker's two tables, and those that an entry takes beside its letters and further gains.
-TABLE, ENTRY = 96 << 20, 230
+#: Bytes of each of a worker's two tables, in two generations, and those that an entry takes beside its high gains.
+TABLE, ENTRY = 128 << 20, 200
 #: A stem is toxic if so many toxic rows have it and its log odds exceed this.
 ROWS, ODDS = 4, 3.0
 THRESHOLD = 0.3
+#: Gains up to this count for nothing.
+HIGH = 0.1
 #: Blank-separated runs up to so many characters are remembered.
 SHORT = 40
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -94,13 +98,13 @@ def train(texts: list[str], toxic: np.ndarray) -> Dictionaries:
 
 
 class Gains:
-    """Gains of words, remembered."""
+    """Gains of words, remembered: of each run the number of its windows, and their gains over HIGH."""
 
     def __init__(self, d: Dictionaries):
         self.toxic, self.ordinary = (self._compressor(x) for x in (d.toxic, d.ordinary))
-        self.by_run: dict[str, tuple[float, ...]] = {}
-        self.by_key: dict[str, tuple[float, ...]] = {}
-        self.runs_left = self.keys_left = TABLE
+        self.same = {}  # equal gains, and counts of windows without high ones, are one object
+        self.by_run, self.old_runs, self.runs_left = {}, {}, TABLE // 2
+        self.by_key, self.old_keys, self.keys_left = {}, {}, TABLE // 2
 
     @staticmethod
     def _compressor(content: bytes):
@@ -111,24 +115,33 @@ class Gains:
         d.precompute_compress(compression_params=p)
         return zstd.ZstdCompressor(dict_data=d, compression_params=p)
 
-    def window(self, key: str) -> tuple[float, ...]:
+    def window(self, key: str) -> float:
         found = self.by_key.get(key)
         if found is None:
+            found = self.old_keys.get(key)
+            if found is None:
+                window = staircase(key)
+                found = (len(self.ordinary.compress(window)) - len(self.toxic.compress(window))) / len(window)
+                found = self.same.setdefault(found, found)
             self.keys_left -= ENTRY
             if self.keys_left < 0:
-                self.by_key, self.keys_left = {}, TABLE
-            window = staircase(key)
-            self.by_key[key] = found = ((len(self.ordinary.compress(window)) - len(self.toxic.compress(window))) / len(window),)
+                self.old_keys, self.by_key, self.keys_left = self.by_key, {}, TABLE // 2
+            self.by_key[key] = found
         return found
 
     def of(self, run: str) -> tuple[float, ...]:
-        """The gains of a run's windows; of a run without letters one gain of zero."""
-        keys = windows(run)
-        found = self.window(keys[0]) if len(keys) == 1 else tuple(g for k in keys for g in self.window(k)) or (0.0,)
+        """The number of a run's windows, one if it has no letters, and the gains over HIGH among theirs."""
+        found = self.old_runs.get(run)
+        if found is None:
+            keys = windows(run)
+            high = tuple(g for g in map(self.window, keys) if g > HIGH)
+            found = (max(len(keys), 1), *high)
+            if not high:
+                found = self.same.setdefault(found, found)
         if len(run) <= SHORT:
-            self.runs_left -= ENTRY + 40 * len(found)
+            self.runs_left -= ENTRY + 40 * (len(found) - 1)
             if self.runs_left < 0:
-                self.by_run, self.runs_left = {}, TABLE
+                self.old_runs, self.by_run, self.runs_left = self.by_run, {}, TABLE // 2
             self.by_run[run] = found
         return found
 
@@ -136,9 +149,17 @@ class Gains:
         runs = (text or "").split()
         if not runs:
             return [0.0] * 5
-        x = np.array([g for r in runs for g in self.by_run.get(r) or self.of(r)])
-        high = np.sort(x[x > 0.1])[::-1] if x.max() > 0.1 else np.zeros(1)
-        return [high[0], high[:3].sum() / 3, (high - 0.1).clip(0).sum() / len(x), (high - 0.2).clip(0).sum() / np.sqrt(len(x)), (high > 0.3).sum() / len(x)]
+        known, of = self.by_run.get, self.of
+        found = [known(r) or of(r) for r in runs]
+        n = sum(f[0] for f in found)
+        high = np.sort([g for f in found if len(f) > 1 for g in f[1:]] or [0.0])[::-1]
+        return [high[0], high[:3].sum() / 3, (high - HIGH).clip(0).sum() / n, (high - 0.2).clip(0).sum() / np.sqrt(n), (high > 0.3).sum() / n]
+
+
+@lru_cache(maxsize=1)
+def gains_of(d: Dictionaries) -> Gains:
+    """The worker's own: its tables outlive a task."""
+    return Gains(d)
 
 
 @dataclass(frozen=True)
@@ -172,7 +193,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     """id, score of every row."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gains, w = Gains(model.dictionaries), np.array(model.weights)
+        gains, w = gains_of(model.dictionaries), np.array(model.weights)
         for b in it:
             x = np.array([gains.features(t) for t in b.column(1).to_pylist()]).reshape(-1, 5)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sigmoid(x @ w + model.intercept))], names=[key, "score"])
