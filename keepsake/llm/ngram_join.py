@@ -431,3 +431,19 @@ def joins(found: DataFrame, classes: DataFrame) -> DataFrame:
 
 def op10_ngram_join(spark, sf_dir: str) -> DataFrame:
     return join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+SQL = """
+WITH RECURSIVE t AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM documents),
+w AS (SELECT doc_id, list_filter(regexp_split_to_array(low, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM t),
+s AS (SELECT doc_id, list_sort(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+        ELSE list_distinct([array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)]) END) AS s FROM w),
+c AS (SELECT s, min(doc_id) AS id, len(s) AS n FROM s WHERE len(s) > 0 GROUP BY s),
+g AS (SELECT id, n, unnest(s) AS g FROM c),
+i AS (SELECT a.id AS a, b.id AS b, a.n + b.n AS n, count(*) AS i FROM g a JOIN g b ON a.g = b.g AND a.id < b.id GROUP BY ALL),
+l AS (SELECT a, b FROM i WHERE 100 * i >= 80 * (n - i) UNION ALL SELECT b, a FROM i WHERE 100 * i >= 80 * (n - i)),
+r(a, b) AS (SELECT id, id FROM c UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
+m AS (SELECT a AS id, min(b) AS least FROM r GROUP BY a)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, coalesce(m.least, s.doc_id) AS component_id
+FROM s LEFT JOIN c ON c.s = s.s LEFT JOIN m ON m.id = c.id
+"""

@@ -20,4 +20,5 @@ ORACLES = {
     "op1_decontaminate": decontaminate.SQL,
     "op2_url_filter": url_filter.SQL,
     "op6_exact_dedup": exact_dedup.SQL,
+    "op10_ngram_join": ngram_join.SQL,
 }
