@@ -26,6 +26,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -71,7 +72,7 @@ def windows(run: str, learn: bool = False) -> list[str]:
 
 
 def staircase(key: str) -> bytes:
-    return f" {' '.join(key[:i] for i in range(1, len(key) + 1))} ".encode()
+    return f" {' '.join(accumulate(key))} ".encode()
 
 
 @dataclass(frozen=True)
