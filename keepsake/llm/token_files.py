@@ -29,8 +29,10 @@ from . import mph
 from .shared import fresh_path, table
 from .tokens import ByteWords, encoder, public_path
 
-#: Bytes of a generation of a worker's table of words. Encoding is all that this operator's workers do.
-TABLE = 112 << 20
+#: Bytes of a generation of a worker's table of words. An executor has a worker a core beside its heap.
+TABLE = 56 << 20
+#: Rows whose texts are in a worker as Python strings at once.
+ROWS = 256
 #: Ids in memory at most, beside one document's, before they go to the file or come from it.
 BLOCK = 1 << 21
 #: The key that stands for null in an index; a real key of this value has the flag 0 in its second word.
@@ -124,7 +126,7 @@ def write(docs: DataFrame, url: str, tokenizer: str, end_id: int = 0, key: str =
         final, mine = f"{folder}/{task.partitionId():06d}", f"{folder}/.{task.partitionId():06d}-{task.taskAttemptId()}"
         rows, held, size, out = [], [], 0, None
         end = np.array([end_id], f"<u{width}").tobytes()
-        for b in batches:
+        for b in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
             for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 ids = np.frombuffer(encode(t), "<u4").astype(f"<u{width}").tobytes() + end
                 rows.append((NO_KEY, 1, len(ids) // width) if k is None else (k, 0, len(ids) // width))

@@ -338,6 +338,25 @@ def test_ids_are_the_tokenizers(docs, kind, name):
         assert np.frombuffer(encode(t), "<u4").tolist() == own.encode(t, add_special_tokens=False).ids
 
 
+def test_new_words_at_once():
+    """A null inside a text is no mark of a text's first word, signs come off words where they are a piece apart."""
+    texts = ["b c", "a \0b", "a\n\0b", "\0b", "it's. o'clock? 12. x2; \xb2. \xaa! (a) a/. -- --. don't", "caf\xe9. \xdf, \xf7. \u0431. \u65e5.", "a\nb.\nc. b.\nc", ". a", "!\n! a!", "\u0120a \u010ab.", "z" * 70 + ". " + "z" * 70]
+    encode, own = tokens.ByteWords(tokens.public_path("byte_bpe_50k.json"), 1000), Tokenizer.from_file(tokens.public_path("byte_bpe_50k.json"))
+    for t in 3 * texts:
+        assert np.frombuffer(encode(t), "<u4").tolist() == own.encode(t, add_special_tokens=False).ids
+
+
+def test_a_worker_of_token_files_keeps_two_generations():
+    """No more than the words of two generations: an executor has several workers and a heap beside them."""
+    rng, size = random.Random(5), 400_000
+    encode = tokens.ByteWords(tokens.public_path("byte_bpe_50k.json"), size)
+    for _ in range(100):
+        encode(" ".join("".join(rng.choices("abcdefghij", k=9)) + rng.choice(["", ".", ","]) for _ in range(100)))
+    held = sum(len(w) + len(ids) + tokens.ENTRY for t in (encode, encode.old, encode.parts, encode.old_parts) for w, ids in t.items())
+    assert size < held < 2 * size + 10 * tokens.ENTRY
+    assert 2 * token_files.TABLE <= 112 << 20
+
+
 def test_token_files_round_trip(spark, odd, empty, tmp_path):
     path = tokens.public_path("byte_bpe_50k.json")
     own = Tokenizer.from_file(path)
