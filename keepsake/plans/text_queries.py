@@ -70,7 +70,7 @@ def citations_and_verdicts(spark, sf_dir):
     k = F.col("doc_id") % 4
     said = F.when(k == 0, "Yes, ").when(k == 1, "no; not yes ").when(k == 2, "maybe ").otherwise("")
     a = F.concat(said, F.lit("[ep_"), F.substring(F.sha1(F.col("doc_id").cast("string")), 1, 10), F.lit("] [f_zz] [raw_"), F.substring(F.sha1((F.col("doc_id") % 10).cast("string")), 1, 6), F.lit("] "), F.coalesce("text", F.lit("")))
-    return read(spark, sf_dir, "documents").select("doc_id", F.array_join(X.citations(a), ",").alias("cited"), X.verdict(a).alias("verdict"))
+    return read(spark, sf_dir, "documents").select("doc_id", F.array_join(X.cited(a), ",").alias("cited"), X.verdict(a).alias("verdict"))
 
 
 _CUES = ("What is it now?", "Where did I live in March?", "how many times did it change", "What did I do two weeks ago?", "who came last month", "what was it previously", "tell me the name", "what happened on 2023-05-20", "what of 3 days ago", "what of a year ago", "since Sep 2021", "in may we met", "past week", "last year")
