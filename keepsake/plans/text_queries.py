@@ -152,5 +152,5 @@ def hash_embedding(spark, sf_dir):
 
 @query()
 def truncate_text(spark, sf_dir):
-    t = X.truncated(F.col("text"), 60)
-    return read(spark, sf_dir, "documents").select("doc_id", t.alias("head"), X.count_tokens(t).alias("tokens"))
+    heads = read(spark, sf_dir, "documents").select("doc_id", X.truncated(F.col("text"), 60).alias("head"))
+    return heads.select("doc_id", "head", X.count_tokens(F.col("head")).alias("tokens"))

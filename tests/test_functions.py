@@ -115,3 +115,10 @@ def test_identity():
     assert evaluation.identity(a) != evaluation.identity(a | {"read": {"k": 2}})
     assert evaluation.identity(a, True) == evaluation.identity(a | {"read": {"k": 2}}, True)
     assert evaluation.overlay(a, {"write": {"x": 1}})["write"] == {"policy": "sieve", "x": 1}
+
+
+def test_truncation_splits_a_text_once(spark):
+    d = spark.createDataFrame([("ab " * 500,), (" " * 300,), (None,)], "text string")
+    out = d.select(X.truncated(F.col("text"), 60).alias("t"))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+    assert [r.t for r in out.collect()] == [" ".join(["ab"] * 66), "", None]
