@@ -5,8 +5,10 @@ from __future__ import annotations
 import difflib
 import hashlib
 import json
+import math
 import os
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -34,16 +36,96 @@ def metrics(records: DataFrame) -> DataFrame:
     )
 
 
-def _draw(seed: int, rep: Column, i: Column, n: Column) -> Column:
-    """A resampled position from 0, by a hash that SQL engines share."""
-    return F.pmod(F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), rep, i)), 1, 8), 16, 10).cast("long"), n)
+#: Positions of a packed row of values, values that a task looks up at once, replicates of a task, draws hashed at once.
+PACKED, HELD, REPLICATES, DRAWN = 1 << 16, 1 << 22, 20, 1 << 13
+_TURNS = (7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21)
+_SINES = [int(abs(math.sin(i + 1)) * 2**32) for i in range(64)]
+
+
+def _first_words(words: np.ndarray) -> np.ndarray:
+    """The first eight hex digits of MD5 as a number, of messages of one block, a column each of sixteen 32-bit words."""
+    start = [0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476]
+    a, b, c, d = (np.full(words.shape[1], x, np.uint32) for x in start)
+    f, t = np.empty_like(a), np.empty_like(a)
+    for i in range(64):
+        k = i // 16
+        if k == 0:
+            np.bitwise_xor(c, d, out=f), np.bitwise_and(f, b, out=f), np.bitwise_xor(f, d, out=f)
+        elif k == 1:
+            np.bitwise_xor(b, c, out=f), np.bitwise_and(f, d, out=f), np.bitwise_xor(f, c, out=f)
+        elif k == 2:
+            np.bitwise_xor(b, c, out=f), np.bitwise_xor(f, d, out=f)
+        else:
+            np.invert(d, out=f), np.bitwise_or(f, b, out=f), np.bitwise_xor(f, c, out=f)
+        f += a
+        f += np.uint32(_SINES[i])
+        f += words[(i, 5 * i + 1, 3 * i + 5, 7 * i)[k] % 16]
+        turn = _TURNS[k][i % 4]
+        np.left_shift(f, np.uint32(turn), out=t), np.right_shift(f, np.uint32(32 - turn), out=f), np.bitwise_or(f, t, out=f)
+        f += b
+        a, b, c, d, f = d, f, b, c, a
+    return (a + np.uint32(start[0])).byteswap()
+
+
+def _drawn(seed: int, rep: int, first: int, last: int, n: int) -> np.ndarray:
+    """What positions first to last (excluded) draw in a replicate, from 0, by a hash that SQL engines share."""
+    out, head = [], f"{seed}:{rep}:".encode()
+    while first < last:
+        digits = len(str(first))
+        end = min(last, 10**digits)
+        i, size = np.arange(first, end), len(head) + digits
+        text = np.zeros((64, len(i)), np.uint8)
+        text[: len(head)] = np.frombuffer(head, np.uint8)[:, None]
+        for at in range(size - 1, len(head) - 1, -1):
+            i, rest = np.divmod(i, 10)
+            text[at] = 48 + rest
+        text[size] = 128
+        words = sum(text[k::4].astype(np.uint32) << np.uint32(8 * k) for k in range(4))
+        words[14] = 8 * size
+        out.append(_first_words(words).astype(np.int64) % n)
+        first = end
+    return np.concatenate(out)
 
 
 def bootstrap(values: DataFrame, replicates: int = 1000, seed: int = 0) -> DataFrame:
-    """values: grp, i (from 0), v. Mean and the 2.5 and 97.5 % replicate means by sorted position."""
+    """values: grp, i (from 0), v. Mean and the 2.5 and 97.5 % replicate means by sorted position.
+
+    Values travel packed, HELD of a group to every task of some replicates, which draws all positions and sums those it holds.
+    """
     n = values.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("mean"))
-    draws = values.join(n, "grp").select("grp", "i", "n", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep")).select("grp", "rep", _draw(seed, F.col("rep"), F.col("i"), F.col("n")).alias("i"))
-    means = draws.join(values, ["grp", "i"]).groupBy("grp", "rep").agg(F.round(F.avg("v"), 9).alias("m"))
+    kind = values.schema["grp"].dataType.simpleString()
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        first = int(pdf["p"].iloc[0]) * PACKED
+        at, known = pdf["i"].to_numpy() - first, pdf["v"].notna().to_numpy()
+        v, has = np.zeros(PACKED), np.zeros(PACKED, np.int64)
+        np.add.at(v, at[known], pdf["v"].to_numpy(float)[known])
+        np.add.at(has, at[known], 1)
+        return pd.DataFrame({"grp": pdf["grp"].iloc[:1], "p": pdf["p"].iloc[:1], "v": [v.tobytes()], "has": [has.astype(np.int32).tobytes()]})
+
+    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
+        low, total, rep = int(pdf["p"].min()) * PACKED, int(pdf["n"].iloc[0]), int(pdf["rep"].iloc[0])
+        size = (int(pdf["p"].max()) + 1) * PACKED - low
+        v, has = np.zeros(size), np.zeros(size, np.int32)
+        for r in pdf.itertuples(index=False):
+            at = r.p * PACKED - low
+            v[at : at + PACKED], has[at : at + PACKED] = np.frombuffer(r.v), np.frombuffer(r.has, np.int32)
+        reps, sums, counts = range(rep, min(rep + REPLICATES, replicates)), [], []
+        for k in reps:
+            s, c = 0.0, 0
+            for first in range(0, total, DRAWN):
+                at = _drawn(seed, k, first, min(first + DRAWN, total), total) - low
+                at = at[(at >= 0) & (at < size)]
+                s, c = s + float(v[at].sum()), c + int(has[at].sum())
+            sums.append(s)
+            counts.append(c)
+        return pd.DataFrame({"grp": [pdf["grp"].iloc[0]] * len(reps), "rep": list(reps), "s": sums, "c": counts})
+
+    placed = values.where("grp is not null").select("grp", "i", F.col("v").cast("double").alias("v"), F.floor(F.col("i") / PACKED).cast("int").alias("p"))
+    packed = placed.groupBy("grp", "p").applyInPandas(pack, f"grp {kind}, p int, v binary, has binary").join(n.select("grp", "n"), "grp")
+    dealt = packed.withColumn("h", F.floor(F.col("p") / (HELD // PACKED))).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1), F.lit(REPLICATES))))
+    parts = dealt.repartition(2 * -(-replicates // REPLICATES), "grp", "h", "rep").groupBy("grp", "h", "rep").applyInPandas(draw, f"grp {kind}, rep int, s double, c long")
+    means = parts.groupBy("grp", "rep").agg(F.round(F.sum("s") / F.sum("c"), 9).alias("m"))
     at = F.row_number().over(W.partitionBy("grp").orderBy("m", "rep")) - 1
     low, high = int(0.025 * replicates), min(int(0.975 * replicates), replicates - 1)
     ends = means.select("grp", "m", at.alias("at")).groupBy("grp").agg(F.max(F.when(F.col("at") == low, F.col("m"))).alias("lo"), F.max(F.when(F.col("at") == high, F.col("m"))).alias("hi"))

@@ -1,5 +1,7 @@
 """The whole job where a registered query with SQL covers a part of it."""
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from keepsake.operators import coverage, evaluation, retrieval
@@ -48,3 +50,21 @@ def test_blocks_change_nothing(spark, monkeypatch):
     assert tops(4096) == tops(5)
     gain = lambda chunk: [tuple(round(x, 6) if isinstance(x, float) else x for x in r) for r in rows(coverage.gains(s, None, t, chunk))]
     assert gain(4096) == gain(5)
+
+
+def test_bootstrap_by_blocks(spark, monkeypatch):
+    """Blocks of values and draws change nothing, and values may be missing."""
+    rows = [("a", i, float(i * i % 7)) for i in range(41)] + [("b", i, None if i == 3 else i / 8) for i in range(12)]
+    values = spark.createDataFrame(rows, "grp string, i long, v double")
+    want = []
+    for grp in "ab":
+        own = [v for g, _, v in rows if g == grp]
+        drawn = [[own[int(hashlib.md5(f"0:{rep}:{i}".encode()).hexdigest()[:8], 16) % len(own)] for i in range(len(own))] for rep in range(200)]
+        means = sorted(round(sum(k) / len(k), 9) for d in drawn for k in [[v for v in d if v is not None]])
+        known = [v for v in own if v is not None]
+        want.append((grp, len(own), round(sum(known) / len(known), 6), round(means[5], 6), round(means[195], 6)))
+    for held in ((1 << 16, 1 << 22, 1 << 13), (4, 8, 5)):
+        for name, size in zip(("PACKED", "HELD", "DRAWN"), held, strict=True):
+            monkeypatch.setattr(evaluation, name, size)
+        found = evaluation.bootstrap(values, 200)
+        assert sorted(map(tuple, found.collect())) == want
