@@ -7,7 +7,7 @@ blocks is two rows a target or one a candidate. A group of any size is so spread
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Vectors of a block.
-CHUNK = 4096
+#: Vectors of a block, and those of its rows whose similarities are held at once.
+CHUNK, STRIP = 4096, 256
 
 
 def by_blocks(left: DataFrame, right: DataFrame, left_id: str, right_id: str, run: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, chunk: int = CHUNK) -> DataFrame:
@@ -43,6 +43,13 @@ def matrix(vectors: pd.Series) -> np.ndarray:
     return np.array(vectors.tolist(), np.float64)
 
 
+def strips(left: pd.Series, right: pd.Series) -> Iterator[tuple[slice, np.ndarray]]:
+    """Similarities of a pair of blocks, STRIP rows of the left one at a time."""
+    a, b = matrix(left), matrix(right).T
+    for at in range(0, len(a), STRIP):
+        yield slice(at, at + STRIP), a[at : at + STRIP] @ b
+
+
 def _kind(df: DataFrame, column: str) -> str:
     return df.schema[column].dataType.simpleString()
 
@@ -53,12 +60,14 @@ def similarities(targets: DataFrame, selected: DataFrame, chunk: int = CHUNK) ->
 
     def run(t: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
         x = x.sort_values("s")
-        sims = np.maximum(matrix(t["hv"]) @ matrix(x["sv"]).T, 0)
-        ranks, out, at = np.round(sims, 9), [], np.arange(len(t))
-        for _ in range(min(2, len(x))):
-            top = ranks.argmax(axis=1)
-            out.append(pd.DataFrame({"grp": t["grp"].to_numpy(), "h": t["h"].to_numpy(), "w": t["w"].to_numpy(), "s": x["s"].to_numpy()[top], "sim": sims[at, top]}))
-            ranks[at, top] = -1
+        out, ids = [], x["s"].to_numpy()
+        for own, sims in strips(t["hv"], x["sv"]):
+            np.maximum(sims, 0, out=sims)
+            ranks, part, at = np.round(sims, 9), t.iloc[own], np.arange(len(sims))
+            for _ in range(min(2, len(x))):
+                top = ranks.argmax(axis=1)
+                out.append(pd.DataFrame({"grp": part["grp"].to_numpy(), "h": part["h"].to_numpy(), "w": part["w"].to_numpy(), "s": ids[top], "sim": sims[at, top]}))
+                ranks[at, top] = -1
         return pd.concat(out)
 
     schema = f"grp {_kind(targets, 'grp')}, h {_kind(targets, 'h')}, w double, s {_kind(selected, 's')}, sim double"
@@ -82,8 +91,11 @@ def gains(candidates: DataFrame, best: DataFrame | None, targets: DataFrame, chu
     """candidates: grp, s, sv. What each would add to the value; best: grp, h, best, none for an empty store."""
 
     def run(t: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
-        sims = np.maximum(matrix(t["hv"]) @ matrix(x["sv"]).T, 0)
-        part = t["w"].to_numpy() @ np.maximum(sims - t["best"].to_numpy()[:, None], 0)
+        part, w, best = np.zeros(len(x)), t["w"].to_numpy(), t["best"].to_numpy()[:, None]
+        for own, sims in strips(t["hv"], x["sv"]):
+            np.maximum(sims, 0, out=sims)
+            sims -= best[own]
+            part += w[own] @ np.maximum(sims, 0, out=sims)
         return pd.DataFrame({"grp": x["grp"].to_numpy(), "s": x["s"].to_numpy(), "part": part})
 
     known = targets.select("grp", "h", "hv", F.col("w").cast("double"))
