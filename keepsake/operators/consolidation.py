@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -11,20 +13,59 @@ from pyspark.sql import functions as F
 from ..functions.text import entities
 from ..functions.vectors import dot
 from ..session import cut
-from .coverage import by_blocks, matrix
+from .coverage import by_blocks, strips
+
+
+def _near(x: pd.DataFrame, y: pd.DataFrame, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places in x and in y of pairs a < b from the threshold on, and their similarities, a strip at a time."""
+    a, b = x["a"].to_numpy()[:, None], y["b"].to_numpy()[None]
+    for own, sims in strips(x["av"], y["bv"]):
+        rows, cols = np.nonzero((np.round(sims, 6) >= threshold) & (a[own] < b))
+        yield rows + own.start, cols, sims[rows, cols]
 
 
 def near_pairs(entries: DataFrame, threshold: float) -> DataFrame:
     """entries: grp, id, vec. Pairs a < b of a group (a window of sessions) from the threshold on, block by block."""
 
     def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        sims = matrix(x["av"]) @ matrix(y["bv"]).T
-        rows, cols = np.nonzero((np.round(sims, 6) >= threshold) & (x["a"].to_numpy()[:, None] < y["b"].to_numpy()[None]))
-        return pd.DataFrame({"grp": x["grp"].to_numpy()[rows], "a": x["a"].to_numpy()[rows], "b": y["b"].to_numpy()[cols], "sim": sims[rows, cols]})
+        rows, cols, sims = (np.concatenate(k) for k in zip(*_near(x, y, threshold), strict=True))
+        return pd.DataFrame({"grp": x["grp"].to_numpy()[rows], "a": x["a"].to_numpy()[rows], "b": y["b"].to_numpy()[cols], "sim": sims})
+
+    return _by_twos(entries, run, ", sim double")
+
 
+def _by_twos(entries: DataFrame, run: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], more: str = "") -> DataFrame:
     a, b = (entries.select("grp", F.col("id").alias(x), F.col("vec").alias(x + "v")) for x in "ab")
     grp, own = (entries.schema[c].dataType.simpleString() for c in ("grp", "id"))
-    return by_blocks(a, b, "a", "b", run, f"grp {grp}, a {own}, b {own}, sim double")
+    return by_blocks(a, b, "a", "b", run, f"grp {grp}, a {own}, b {own}{more}")
+
+
+def links(entries: DataFrame, threshold: float) -> DataFrame:
+    """(grp, a, b), a < b: pairs that connect what near_pairs connects and no more, though not all are near themselves.
+    A pair of blocks leaves each entry's link to the least it reaches there, in place of all its pairs."""
+
+    def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        ids, own = np.unique(np.concatenate([x["a"].to_numpy(), y["b"].to_numpy()]), return_inverse=True)
+        least, to = np.arange(len(ids)), own[len(x) :]
+        for rows, cols, _ in _near(x, y, threshold):
+            least = joined(least, own[rows], to[cols])
+        at = np.flatnonzero(least < np.arange(len(ids)))
+        return pd.DataFrame({"grp": [x["grp"].iloc[0]] * len(at), "a": ids[least[at]], "b": ids[at]})
+
+    return _by_twos(entries, run)
+
+
+def joined(least: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """The least place that each one reaches, once u and v are linked too."""
+    while True:
+        a, b = least[u], least[v]
+        apart = a != b
+        if not apart.any():
+            return least
+        u, v, a, b = u[apart], v[apart], a[apart], b[apart]
+        np.minimum.at(least, np.maximum(a, b), np.minimum(a, b))
+        while (least != (to := least[least])).any():
+            least = to
 
 
 def clusters(entries: DataFrame, pairs: DataFrame) -> DataFrame:

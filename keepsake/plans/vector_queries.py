@@ -90,15 +90,16 @@ def dense_topk(spark, sf_dir):
 @query("""WITH e AS (SELECT label AS grp, vec_id AS id, embedding AS v FROM embeddings) SELECT a.grp, a.id AS a, b.id AS b, round(list_dot_product(a.v::DOUBLE[], b.v::DOUBLE[]), 6) AS sim
 FROM e a JOIN e b ON a.grp = b.grp AND a.id < b.id WHERE round(list_dot_product(a.v::DOUBLE[], b.v::DOUBLE[]), 6) >= 0.25""")
 def near_dup_pairs(spark, sf_dir):
-    return _pairs(spark, sf_dir).select("grp", "a", "b", F.round("sim", 6).alias("sim"))
+    return consolidation.near_pairs(_entries(spark, sf_dir), 0.25).select("grp", "a", "b", F.round("sim", 6).alias("sim"))
 
 
 def _entries(spark, sf_dir):
     return targets(spark, sf_dir).select("grp", F.col("h").alias("id"), F.col("hv").alias("vec"))
 
 
-def _pairs(spark, sf_dir):
-    return consolidation.near_pairs(_entries(spark, sf_dir), 0.25)
+def _clusters(spark, sf_dir):
+    e = _entries(spark, sf_dir)
+    return consolidation.clusters(e, consolidation.links(e, 0.25))
 
 
 CLUSTERS = """e AS (SELECT label AS grp, vec_id AS id, embedding AS v FROM embeddings), p AS (SELECT a.grp, a.id AS a, b.id AS b FROM e a JOIN e b ON a.grp = b.grp AND a.id <> b.id WHERE round(list_dot_product(a.v::DOUBLE[], b.v::DOUBLE[]), 6) >= 0.25),
@@ -108,14 +109,13 @@ reach AS (SELECT grp, id, id AS via FROM e UNION SELECT reach.grp, reach.id, p.b
 @query(f"WITH RECURSIVE {CLUSTERS} SELECT grp, id, cluster FROM c")
 def threshold_clusters(spark, sf_dir):
     """At 0.25, since these vectors are nearly random."""
-    return consolidation.clusters(_entries(spark, sf_dir), _pairs(spark, sf_dir))
+    return _clusters(spark, sf_dir)
 
 
 @query(f"""WITH RECURSIVE {CLUSTERS}, m AS (SELECT c.*, v FROM c JOIN e USING (grp, id)), s AS (SELECT x.grp, x.cluster, x.id AS medoid, count(*) AS size, round(sum(list_dot_product(x.v::DOUBLE[], y.v::DOUBLE[])), 6) AS total FROM m x JOIN m y ON x.grp = y.grp AND x.cluster = y.cluster GROUP BY ALL HAVING count(*) >= 3)
 SELECT grp, cluster, medoid, size, total FROM (SELECT *, row_number() OVER (PARTITION BY grp, cluster ORDER BY total DESC, medoid) AS r FROM s) WHERE r = 1""")
 def cluster_medoid(spark, sf_dir):
-    e = _entries(spark, sf_dir)
-    return consolidation.medoids(e, consolidation.clusters(e, _pairs(spark, sf_dir)))
+    return consolidation.medoids(_entries(spark, sf_dir), _clusters(spark, sf_dir))
 
 
 @query(f"WITH {SIMS}, l AS (SELECT grp AS cluster, provider, sum(w * (best - second)) AS loss, any_value(w) AS w FROM b GROUP BY 1, 2) SELECT cluster, round(avg(loss / w), 6) AS mean FROM l GROUP BY cluster HAVING round(avg(loss / w), 6) < 2")
