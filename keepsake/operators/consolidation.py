@@ -50,7 +50,7 @@ def links(entries: DataFrame, threshold: float) -> DataFrame:
         for rows, cols, _ in _near(x, y, threshold):
             least = joined(least, own[rows], to[cols])
         at = np.flatnonzero(least < np.arange(len(ids)))
-        return pd.DataFrame({"grp": [x["grp"].iloc[0]] * len(at), "a": ids[least[at]], "b": ids[at]})
+        return pd.DataFrame({"grp": x["grp"].to_numpy()[np.zeros(len(at), int)], "a": ids[least[at]], "b": ids[at]})
 
     return _by_twos(entries, run)
 

@@ -24,10 +24,10 @@ def test_links_connect_what_pairs_do(spark, monkeypatch):
     v = rng.normal(size=(90, 4))
     v /= np.linalg.norm(v, axis=1, keepdims=True)
     ids = rng.permutation(90).tolist()
-    entries = spark.createDataFrame([(i % 2, ids[i], x.tolist()) for i, x in enumerate(v)], "grp int, id long, vec array<float>")
+    entries = spark.createDataFrame([("xy"[i % 2], ids[i], x.tolist()) for i, x in enumerate(v)] + [("z", 90, [1.0, 0.0, 0.0, 0.0])], "grp string, id long, vec array<float>")
     monkeypatch.setattr(coverage, "STRIP", 7)
     monkeypatch.setattr(coverage.by_blocks, "__defaults__", (16,))
-    near = {(i % 2, *sorted((ids[i], ids[j]))) for i in range(90) for j in range(i) if i % 2 == j % 2 and v[i] @ v[j] >= 0.9}
+    near = {("xy"[i % 2], *sorted((ids[i], ids[j]))) for i in range(90) for j in range(i) if i % 2 == j % 2 and v[i] @ v[j] >= 0.9}
     pairs, links = consolidation.near_pairs(entries, 0.9), consolidation.links(entries, 0.9)
     assert {(r.grp, r.a, r.b) for r in pairs.collect()} == near
     rows = lambda d: sorted(map(tuple, d.collect()))
